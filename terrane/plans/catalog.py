@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_graph  # noqa: F401
+from . import catalog_graph, catalog_hierarchy  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

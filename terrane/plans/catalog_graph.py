@@ -454,8 +454,8 @@ cc(workspace_id, id, component) USING KEY (workspace_id, id) AS (
   UNION
   SELECT a.workspace_id, a.o, min(c.component) FROM cc c JOIN around a ON a.workspace_id = c.workspace_id AND a.id = c.id
     JOIN recurring.cc r ON r.workspace_id = a.workspace_id AND r.id = a.o WHERE c.component < r.component GROUP BY a.workspace_id, a.o)""",
-    around="SELECT workspace_id, source AS id, target AS o FROM inner_edges UNION SELECT workspace_id, target, source FROM inner_edges",
-    inner_edges="SELECT e.* FROM fx_edges e WHERE (workspace_id, source) IN (SELECT (workspace_id, id) FROM fx_nodes) AND (workspace_id, target) IN (SELECT (workspace_id, id) FROM fx_nodes)"))
+    inner_edges="SELECT e.* FROM fx_edges e WHERE (workspace_id, source) IN (SELECT (workspace_id, id) FROM fx_nodes) AND (workspace_id, target) IN (SELECT (workspace_id, id) FROM fx_nodes)",
+    around="SELECT workspace_id, source AS id, target AS o FROM inner_edges UNION SELECT workspace_id, target, source FROM inner_edges"))
 def _(spark, sf):
     nodes, edges = nodes_edges(spark, sf)
     return iterate.connected_components(nodes, edges)
