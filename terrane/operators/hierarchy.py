@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import bounded_broadcast, skew_join
+from ..session import lookup_join, skew_join
 from .iterate import ancestor_closure, k_hop
 
 WS = "workspace_id"
@@ -228,7 +228,7 @@ def default_expansion(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
     limit = F.lit(1)
     for most, depth in reversed(OPEN_FOLDER_DEPTHS):
         limit = F.when(n <= most, depth).otherwise(limit)
-    sized = _depths(hierarchy, closure).join(bounded_broadcast(sizes, 200_000), WS, "left")
+    sized = lookup_join(_depths(hierarchy, closure), sizes, [WS])
     folder = (F.col("kind") == "folder") & (F.col("depth") < limit)
     module = (F.col("kind") == "module") & (n <= OPEN_MODULES_UP_TO) & (F.col("depth") <= limit)
     return sized.filter(folder | module).select(WS, "id")

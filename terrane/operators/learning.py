@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.ids import as_col
-from ..session import HOT_ROWS, running_row_number, skew_join, sliced
+from ..session import HOT_ROWS, lookup_join, running_row_number, sliced
 
 
 def infer_topic(c: Column | str) -> Column:
@@ -46,7 +46,7 @@ def proficiency(interactions: DataFrame, order: tuple[str, str] = ("ts", "event_
         F.max(F.when(F.col("_n") == rules.INTERMEDIATE_ABOVE + 1, key)).alias("_mid"), F.max(F.when(F.col("_n") == last, key)).alias("_high")
     )
     level = F.when(key > F.col("_high"), "advanced").when(key > F.col("_mid"), "intermediate").otherwise("beginner")
-    return skew_join(interactions, marks, ["user_id"]).withColumn("proficiency", level).drop("_mid", "_high")
+    return lookup_join(interactions, marks, ["user_id"], "inner").withColumn("proficiency", level).drop("_mid", "_high")
 
 
 def topic_attempts(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -75,9 +75,8 @@ SESSIONS = "SELECT event_id AS session_id, user_id, ts AS created_at, topic AS c
 
 @register("live_sessions", oracle("SELECT session_id, user_id FROM s WHERE (SELECT max(ts) FROM fx_interactions) - created_at <= INTERVAL 2 HOUR", s=SESSIONS))
 def _(spark, sf):
-    s = query(spark, sf, SESSIONS)
-    now = seen(spark, sf).agg(F.max("ts").alias("now"))
-    return ln.live_sessions(s.join(F.broadcast(now)), F.col("now")).select("session_id", "user_id")
+    now = seen(spark, sf).agg(F.max("ts")).first()[0]
+    return ln.live_sessions(query(spark, sf, SESSIONS), F.lit(str(now)).cast("timestamp_ntz")).select("session_id", "user_id")
 
 
 # half of the evaluations come soon after their question, so that some sessions are live
@@ -141,9 +140,9 @@ def _(spark, sf):
     return ln.recent_interactions(seen(spark, sf)).select("user_id", "event_id", "position")
 
 
-@register("drop_users", oracle("SELECT event_id, user_id FROM fx_interactions WHERE user_id NOT IN (SELECT user_id FROM fx_interactions WHERE outcome = 'mastered')"))
+@register("drop_users", oracle("SELECT event_id, user_id FROM fx_interactions WHERE user_id NOT IN (SELECT user_id FROM fx_interactions WHERE outcome = 'mastered' AND k > 90)"))
 def _(spark, sf):
-    return ln.drop_users(seen(spark, sf), seen(spark, sf).filter("outcome = 'mastered'")).select("event_id", "user_id")
+    return ln.drop_users(seen(spark, sf), seen(spark, sf).filter("outcome = 'mastered' AND k > 90")).select("event_id", "user_id")
 
 
 # --- model responses ---------------------------------------------------------

@@ -81,6 +81,13 @@ def skew_join(
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
 
 
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = 200_000) -> DataFrame:
+    """Join with a table of one row per key: broadcast while it is small, skew-safe beyond."""
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), list(on), how)
+    return skew_join(left, right, on, how)
+
+
 def sliced(
     df: DataFrame,
     keys: Sequence[str],
