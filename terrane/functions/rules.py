@@ -46,6 +46,17 @@ STRING_METHODS = [
 JS_NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "import", "require"]
 JS_NOT_METHODS = ["constructor", "if", "for", "while", "switch", "catch"]
 
+# JavaScript and TypeScript patterns.
+JS_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+JS_IMPORT = r"""(?m)^\s*(?:import|export)\s+(?:[^;]*?)\s+from\s+['"]([^'"]+)['"]"""
+JS_REQUIRE = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
+JS_DYNAMIC = r"""import\(\s*['"]([^'"]+)['"]\s*\)"""
+JS_CLASS = rf"^\s*(?:export\s+)?(?:default\s+)?class\s+({JS_NAME})(?:\s+extends\s+({JS_NAME}))?\b"
+JS_FUNCTION = rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({JS_NAME})\b"
+JS_ARROW = rf"^\s*(?:export\s+)?(?:const|let|var)\s+({JS_NAME})\s*=\s*(?:async\s+)?(?:\([^)]*\)|{JS_NAME})\s*=>"
+JS_METHOD = rf"(?m)^\s+({JS_NAME})\s*\([^)]*\)\s*\{{"
+JS_CALL = rf"({JS_NAME})\s*\("
+
 # Graph build and risk bands.
 BUILDER_VERSION = 2
 RISK_HIGH = {"coupling": 30, "complexity": 25}

@@ -157,20 +157,18 @@ def outcome(is_correct: Column | str, score: Column | str) -> Column:
     return F.when(good, "understood").when(s <= rules.CONFUSED_TO, "confused")
 
 
-def profile_report(interactions: DataFrame) -> DataFrame:
-    """One row per user: level, counts, last activity, weak and strong topics, attempts per topic.
-
-    Events are first reduced to (user, topic); a user's row then gathers one
-    entry per topic.
-    """
-    key = F.struct("ts", "event_id")
+def topic_totals(interactions: DataFrame) -> DataFrame:
+    """(user_id, topic) totals a profile is made of; the same aggregate serves batch and stream."""
     decisive = F.col("outcome").isin("confused", "mastered")
-    per = interactions.groupBy("user_id", "topic").agg(
+    return interactions.groupBy("user_id", "topic").agg(
         F.count("*").alias("n"), F.max("ts").alias("last"), F.count("outcome").alias("judged"),
-        F.max_by(F.when(decisive, F.col("outcome")), F.when(decisive, key)).alias("d"),
+        F.max_by(F.when(decisive, F.col("outcome")), F.when(decisive, F.struct("ts", "event_id"))).alias("decision"),
     )
-    state = F.when(F.col("d") == "confused", "weak").when(F.col("judged") > 0, "strong")
-    named = per.withColumn("state", state)
+
+
+def profiles(totals: DataFrame) -> DataFrame:
+    """One row per user from topic totals; a user's row gathers one entry per topic."""
+    named = totals.withColumn("state", F.when(F.col("decision") == "confused", "weak").when(F.col("judged") > 0, "strong"))
 
     def topics(which: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("state") == which, F.col("topic"))))
@@ -183,6 +181,11 @@ def profile_report(interactions: DataFrame) -> DataFrame:
     )
 
 
+def profile_report(interactions: DataFrame) -> DataFrame:
+    """One row per user: level, counts, last activity, weak and strong topics, attempts per topic."""
+    return profiles(topic_totals(interactions))
+
+
 def recent_interactions(interactions: DataFrame, n: int = 5) -> DataFrame:
     """Last ``n`` interactions per user, numbered from the oldest of them."""
     back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

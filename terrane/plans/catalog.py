@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_corpus, catalog_graph, catalog_hierarchy, catalog_learning, catalog_retrieval  # noqa: F401
+from . import catalog_code, catalog_corpus, catalog_graph, catalog_hierarchy, catalog_learning, catalog_retrieval, catalog_sync  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
