@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
+from ..session import cut_lineage
 from . import resolve
 
 WS = "workspace_id"
@@ -115,7 +116,7 @@ def build_graph(
     """(nodes, edges, graph_meta) at an abstraction level clamped to 1..3."""
     level = max(1, min(int(level), 3))
     modules = modules.filter(ids.is_semantic_id("module_name"))
-    resolved = resolve.resolve_imports(imports, modules)
+    resolved = cut_lineage(resolve.resolve_imports(imports, modules))
     nodes = module_nodes(modules).unionByName(import_stubs(resolved, modules))
     edges = import_edges(resolved)
     if level >= 2:

@@ -196,7 +196,7 @@ def validate_changes(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     changes are reported but do not invalidate.
     """
     old, new = (pairs.select(WS, "path", F.col(c).alias("content")) for c in ("old_text", "new_text"))
-    before, after = extract.extract_corpus(old), extract.extract_corpus(new)
+    before, after = extract.extract_corpus(old, settle=True), extract.extract_corpus(new, settle=True)
     syntax = syntax_check(new).groupBy(WS, "path").agg(F.count("*").alias("syntax_errors"))
     # a Python file that does not parse has no symbols to compare
     broken = syntax.filter(F.col("path").endswith(".py")).select(WS, ids.module_id("path").alias("module_name"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
+from ..session import cut_lineage
 from . import js, resolve
 
 WS = "workspace_id"
@@ -184,11 +185,13 @@ def split_python(tagged: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def extract_js(files: DataFrame) -> dict[str, DataFrame]:
+def extract_js(files: DataFrame, settle: bool = False) -> dict[str, DataFrame]:
     """The same tables for JS/TS files; imports still hold the specifier as written."""
     web = files.filter(F.lower(ids.suffix("path")).isin(rules.JS_SUFFIXES))
     mod = ids.module_id("path")
     blocks = js.segment_js_blocks(web)
+    if settle:
+        blocks = cut_lineage(blocks)
     methods = js.mine_js_methods(blocks)
     imports = js.mine_js_imports(web)
     member = F.concat_ws(".", mod, "class_name", "name")
@@ -211,15 +214,16 @@ def extract_js(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def extract_corpus(files: DataFrame, tagged: DataFrame | None = None) -> dict[str, DataFrame]:
+def extract_corpus(files: DataFrame, settle: bool = False) -> dict[str, DataFrame]:
     """modules, imports, symbols, calls, bases and errors of a mixed corpus.
 
     Files of other kinds become empty modules of language ``unknown`` named
-    by their whole path.  Pass ``tagged`` when the Python parse is stored
-    already; otherwise every table that is read parses again.
+    by their whole path.  With ``settle`` the parse is checkpointed, so that
+    reading several of the tables parses each file once.
     """
-    py = split_python(tagged if tagged is not None else parse_python(files))
-    web = extract_js(files)
+    tagged = parse_python(files)
+    py = split_python(cut_lineage(tagged) if settle else tagged)
+    web = extract_js(files, settle)
     out = {k: py[k].unionByName(web[k], allowMissingColumns=True) for k in web}
     other = files.filter(~F.lower(ids.suffix("path")).isin(rules.SOURCE_SUFFIXES)).select(WS, "path", F.col("path").alias("module_name"), F.lit("unknown").alias("language"))
     return out | {"modules": out["modules"].unionByName(other, allowMissingColumns=True), "errors": py["errors"]}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .derived import view
+from .derived import stored, view
 
 WS = "workspace_id"
 
@@ -21,7 +21,11 @@ def _listed(df: DataFrame, keys: list[str], order: list, line, name: str) -> Dat
 
 
 def source_files(spark, sf: str) -> DataFrame:
-    """files(workspace_id, path, module_name, content)"""
+    """files(workspace_id, path, module_name, content), written once like the views."""
+    return stored(spark, sf, "source_files", lambda: _written_files(spark, sf))
+
+
+def _written_files(spark, sf: str) -> DataFrame:
     modules = view(spark, sf, "fx_modules").filter("path LIKE 'src/%'").withColumn("is_py", F.col("path").endswith(".py"))
     language = modules.select(WS, "module_name", "is_py")
     key = [WS, "module_name"]

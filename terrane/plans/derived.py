@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,22 +52,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Path of a view written once per application to the shared checkpoint folder.
-
-    Views nest, and most queries read several of them; as parquet they keep
-    column pruning and filter pushdown, and survive the loss of an executor.
-    """
+def _path(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> str:
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     if key not in _written:
         tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_folder(spark)}/terrane-views/{app}/{tag}/{name}"
-        query(spark, sf_dir, VIEWS[name]).write.mode("overwrite").parquet(path)
+        make().write.mode("overwrite").parquet(path)
         _written[key] = path
     return _written[key]
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input written once per application to the shared checkpoint folder.
+
+    Views nest, and most queries read several of them; as parquet they keep
+    column pruning and filter pushdown, and survive the loss of an executor.
+    """
+    return spark.read.parquet(_path(spark, sf_dir, name, make))
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return _path(spark, sf_dir, name, lambda: query(spark, sf_dir, VIEWS[name]))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(_stored(spark, sf_dir, name))
 
