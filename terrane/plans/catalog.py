@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import catalog_code, catalog_corpus, catalog_graph, catalog_hierarchy, catalog_learning, catalog_retrieval, catalog_sync  # noqa: F401
+from . import (  # noqa: F401
+    catalog_code,
+    catalog_corpus,
+    catalog_graph,
+    catalog_hierarchy,
+    catalog_learning,
+    catalog_retrieval,
+    catalog_sync,
+    catalog_stream,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

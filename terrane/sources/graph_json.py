@@ -15,11 +15,11 @@ LINK = "source string, target string, type string"
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
     """One parquet table per name, laid out by workspace so that reads prune to it."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(WS).parquet(f"{root}/{name}")
+        df.hint("rebalance", WS).write.mode("overwrite").partitionBy(WS).parquet(f"{root}/{name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str, workspace_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root}/{name}")
+    df = spark.read.parquet(f"{root}/{name}").withColumn(WS, F.col(WS).cast("string"))
     return df if workspace_id is None else df.filter(F.col(WS) == workspace_id)
 
 
