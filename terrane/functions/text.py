@@ -78,16 +78,3 @@ def complexity_delta(old: Column | str, new: Column | str) -> Column:
 def cache_key(task: Column | str, path: Column | str, content: Column | str, extra: Column | str) -> Column:
     raw = F.concat_ws(":", as_col(task), as_col(path), checksum(F.coalesce(as_col(content), F.lit(""))), F.coalesce(as_col(extra), F.lit("")))
     return checksum(raw)
-
-
-def adler32(token: Column) -> Column:
-    """Adler-32 of an ASCII string as two running sums over its characters."""
-    codes = F.transform(F.split(token, ""), lambda ch: F.ascii(ch))
-    n = F.length(token)
-    low = F.aggregate(codes, F.lit(1), lambda acc, x: acc + x) % 65521
-    # position-weighted sum: the first byte counts n times, the last once
-    weighted = F.aggregate(
-        F.transform(codes, lambda x, i: x * (n - i)), F.lit(0).cast("bigint"), lambda acc, x: acc + x
-    )
-    high = (n + weighted) % 65521
-    return high * 65536 + low

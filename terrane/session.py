@@ -56,6 +56,7 @@ def skew_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a large ``left`` with a ``right`` holding few rows per key.
 
@@ -63,9 +64,13 @@ def skew_join(
     ``salts`` sub-keys; only those keys' right rows are repeated.  There are
     at most ``rows / hot_rows`` such keys, and the list is broadcast only
     after its size is checked.  With no hot key this is a plain equi-join.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti.  ``rows`` is an upper
+    bound on the left's size where the caller knows one: a table no larger
+    than ``hot_rows`` cannot hold a hot key.
     """
     on = list(on)
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, on, how)
     hot = (
         left.groupBy(*on).count().filter(F.col("count") > hot_rows)
         .select(*on, F.lit(True).alias("_hot")).persist(StorageLevel.MEMORY_AND_DISK)
