@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,23 +63,20 @@ def prefix_of(c: Column | str) -> Column:
     return F.regexp_extract(as_col(c), r"^(.*)\.[^.]*$", 1)
 
 
+# Every check in one pattern, so that a row is scanned once.
+_SEMANTIC = r"^(?!ast\.)(?!.*(?:" + "|".join(re.escape(m) for m in rules.SYNTAX_DUMP_MARKERS) + r"))[^ \t\n=<>]+$"
+# Parts never hold a dot, so the dotted names in the list cannot match.
+_NOISE = r"(?i)(?:^|\.)(?:" + "|".join(re.escape(s) for s in rules.NOISE_SEGMENTS if "." not in s) + r")(?:\.|$)"
+
+
 def is_semantic_id(c: Column | str) -> Column:
     """True for text that can name a module or symbol."""
-    v = F.trim(as_col(c), F.lit(" \t\n\r\f\x0b"))
-    bad = F.lit(False)
-    for marker in rules.SYNTAX_DUMP_MARKERS:
-        bad = bad | v.contains(marker)
-    bad = bad | v.rlike("[ \\t\\n=<>]") | v.startswith("ast.")
-    return F.coalesce((F.length(v) > 0) & ~bad, F.lit(False))
+    return F.coalesce(F.trim(as_col(c), F.lit(" \t\n\r\f\x0b")).rlike(_SEMANTIC), F.lit(False))
 
 
 def is_noise_namespace(c: Column | str) -> Column:
-    """True when any dotted part names a dependency or cache folder.
-
-    Parts never hold a dot, so the dotted names in the list cannot match.
-    """
-    parts = F.split(F.lower(as_col(c)), r"\.")
-    return F.coalesce(F.arrays_overlap(parts, strings(rules.NOISE_SEGMENTS)), F.lit(False))
+    """True when any dotted part names a dependency or cache folder."""
+    return F.coalesce(as_col(c).rlike(_NOISE), F.lit(False))
 
 
 def edge_id(source: Column | str, target: Column | str, kind: Column | str) -> Column:

@@ -27,7 +27,7 @@ def allowed_edges(edges: DataFrame, level: int = 3) -> DataFrame:
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose both ends are in ``nodes``."""
-    kept = nodes.select(WS, "id").distinct()
+    kept = nodes.select(WS, "id")
     return (
         edges.join(kept.withColumnRenamed("id", "source"), [WS, "source"], "left_semi")
         .join(kept.withColumnRenamed("id", "target"), [WS, "target"], "left_semi")
@@ -88,18 +88,18 @@ def export_graph(nodes: DataFrame, edges: DataFrame, level: int = 3) -> tuple[Da
 
 def lookup_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Node rows for a table of ids; unknown ids are simply absent."""
-    return nodes.join(wanted.select(WS, "id").distinct(), [WS, "id"], "left_semi")
+    return nodes.join(wanted.select(WS, "id"), [WS, "id"], "left_semi")
 
 
 def dependencies(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct successors of each wanted id."""
-    asked = wanted.select(WS, F.col("id").alias("source")).distinct()
+    asked = wanted.select(WS, F.col("id").alias("source"))
     return edges.join(asked, [WS, "source"], "left_semi").select(WS, F.col("source").alias("id"), F.col("target").alias("dependency")).distinct()
 
 
 def dependents(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct predecessors of each wanted id."""
-    asked = wanted.select(WS, F.col("id").alias("target")).distinct()
+    asked = wanted.select(WS, F.col("id").alias("target"))
     return edges.join(asked, [WS, "target"], "left_semi").select(WS, F.col("target").alias("id"), F.col("source").alias("dependent")).distinct()
 
 
@@ -132,7 +132,7 @@ def affected_dependents(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def adjacency_with_labels(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """In and out edges of wanted nodes, labelled by the other end's label or id."""
-    asked = wanted.select(WS, "id").distinct()
+    asked = wanted.select(WS, "id")
     outward = F.struct(F.col("source").alias("id"), F.lit("out").alias("direction"), F.col("target").alias("other"))
     inward = F.struct(F.col("target").alias("id"), F.lit("in").alias("direction"), F.col("source").alias("other"))
     both = edges.select(WS, "type", F.explode(F.array(outward, inward)).alias("e")).select(WS, "type", "e.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import lookup_join, skew_join
+from ..session import cut_lineage, lookup_join, skew_join
 from .iterate import ancestor_closure, k_hop
 
 WS = "workspace_id"
@@ -38,7 +38,7 @@ def resolve_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Of several containing nodes the smallest id is taken, so the answer does
     not depend on edge order.  Modules never use the prefix rule.
     """
-    known = nodes.select(WS, F.col("id").alias("_p")).distinct()
+    known = nodes.select(WS, F.col("id").alias("_p"))
     declared = (
         nodes.filter("parent_id IS NOT NULL AND parent_id <> id").select(WS, "id", F.col("parent_id").alias("_p"))
         .join(known, [WS, "_p"], "left_semi").select(WS, "id", F.col("_p").alias("parent"), F.lit(0).alias("rank"))
@@ -114,7 +114,7 @@ def collapse_folder_chains(hierarchy: DataFrame) -> DataFrame:
 def dedupe_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, kind) with kinds import, call, inherits; self edges, loose ends and copies dropped."""
     pairs = [F.lit(x) for kv in DEPENDENCY_KINDS.items() for x in kv]
-    known = nodes.select(WS, "id").distinct()
+    known = nodes.select(WS, "id")
     return (
         edges.select(WS, "source", "target", F.try_element_at(F.create_map(*pairs), F.lower("type")).alias("kind"))
         .filter("kind IS NOT NULL AND source <> target")
@@ -127,7 +127,7 @@ def dedupe_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def breadcrumbs(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
     """Labels from the root down to each node, joined by ``/``; one entry per level of depth."""
     labels = hierarchy.select(WS, F.col("id").alias("ancestor"), F.col("label").alias("_above"))
-    above = skew_join(closure, labels, [WS, "ancestor"]).groupBy(WS, "id").agg(
+    above = skew_join(closure, labels, [WS, "ancestor"], rows=closure.count()).groupBy(WS, "id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_above"))).alias("_up")
     )
     names = F.concat(F.coalesce(F.transform("_up", lambda s: s["_above"]), F.array().cast("array<string>")), F.array("label"))
@@ -139,18 +139,20 @@ def resolve_visible(wanted: DataFrame, closure: DataFrame, visible: DataFrame) -
     asked = wanted.select(WS, "id").distinct()
     up = closure.join(asked, [WS, "id"], "left_semi").select(WS, "id", "ancestor", "distance")
     self_ = asked.select(WS, "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    seen = visible.select(WS, F.col("id").alias("ancestor")).distinct()
-    hits = skew_join(up.unionByName(self_), seen, [WS, "ancestor"], "left_semi")
+    seen = visible.select(WS, F.col("id").alias("ancestor"))
+    hits = skew_join(up.unionByName(self_), seen, [WS, "ancestor"], "left_semi", rows=closure.count() + wanted.count())
     return asked.join(hits.groupBy(WS, "id").agg(F.min_by("ancestor", "distance").alias("shown")), [WS, "id"], "left")
 
 
 def lift_edges(deps: DataFrame, closure: DataFrame, targets: DataFrame) -> DataFrame:
     """Both ends of each edge replaced by their nearest ancestor in ``targets``; pairs that meet are dropped."""
-    ends = deps.select(WS, F.explode(F.array("source", "target")).alias("id")).distinct()
-    shown = resolve_visible(ends, closure, targets).filter("shown IS NOT NULL")
+    deps = cut_lineage(deps)
+    n = deps.count()
+    ends = cut_lineage(deps.select(WS, F.explode(F.array("source", "target")).alias("id")).distinct())
+    shown = cut_lineage(resolve_visible(ends, closure, targets).filter("shown IS NOT NULL"))
     left = shown.select(WS, F.col("id").alias("source"), F.col("shown").alias("_s"))
     right = shown.select(WS, F.col("id").alias("target"), F.col("shown").alias("_t"))
-    lifted = skew_join(skew_join(deps, left, [WS, "source"]), right, [WS, "target"])
+    lifted = skew_join(skew_join(deps, left, [WS, "source"], rows=n), right, [WS, "target"], rows=n)
     rest = [c for c in deps.columns if c not in (WS, "source", "target")]
     return lifted.filter("_s <> _t").select(WS, F.col("_s").alias("source"), F.col("_t").alias("target"), *rest)
 
@@ -236,9 +238,9 @@ def default_expansion(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
 
 def visible_set(hierarchy: DataFrame, closure: DataFrame, expanded: DataFrame, passing: DataFrame) -> DataFrame:
     """Nodes that pass and whose ancestors all pass and are expanded."""
-    ok = passing.select(WS, "id").distinct()
-    open_ = ok.join(expanded.select(WS, "id").distinct(), [WS, "id"], "left_semi").withColumnRenamed("id", "ancestor")
-    opened = skew_join(closure, open_, [WS, "ancestor"], "left_semi").groupBy(WS, "id").agg(F.count("*").alias("_open"))
+    ok = passing.select(WS, "id")
+    open_ = ok.join(expanded.select(WS, "id"), [WS, "id"], "left_semi").withColumnRenamed("id", "ancestor")
+    opened = skew_join(closure, open_, [WS, "ancestor"], "left_semi", rows=closure.count()).groupBy(WS, "id").agg(F.count("*").alias("_open"))
     return (
         _depths(hierarchy, closure).join(ok, [WS, "id"], "left_semi").join(opened, [WS, "id"], "left")
         .filter(F.col("depth") == F.coalesce("_open", F.lit(0))).select(WS, "id")

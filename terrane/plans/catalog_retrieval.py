@@ -9,7 +9,7 @@ from ..functions import ids, text
 from ..operators import chunks as ck
 from ..operators import context, vectors
 from ..operators.knn import knn
-from .derived import oracle, query, table, view
+from .derived import oracle, query, stored, table, texts, view
 from .registry import register
 
 WS = "workspace_id"
@@ -31,7 +31,7 @@ FROM (SELECT {key}, {words_sql('text')} AS w, flatten(list_transform(string_spli
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf)
 
 
 @register("token_counts", f"SELECT doc_id, len({words_sql('text')}) AS words, length(text) // 4 AS chars4 FROM documents")
@@ -115,6 +115,10 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 
 
 def sections(spark, sf):
+    return stored(spark, sf, "sections", lambda: cut_sections(spark, sf))
+
+
+def cut_sections(spark, sf):
     lines = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     ord_ = F.col("pos") + 1
     kind = F.when(ord_ == 1, "docstring").when(ord_ % 10 == 0, "signature").otherwise("body")
