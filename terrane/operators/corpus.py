@@ -9,6 +9,7 @@ from ..functions import ids, rules
 from ..functions.ids import as_col, strings
 
 WS = "workspace_id"
+LISTING_SHARES = 64
 
 
 def drop_skipped_paths(files: DataFrame) -> DataFrame:
@@ -78,7 +79,11 @@ def tree_listing(files: DataFrame, limit: int = 5000, depth: int | None = None)
     })
     if depth is not None:
         entries = entries.filter(F.col("depth") <= depth)
-    order = Window.partitionBy(WS).orderBy("depth", "parent", F.col("is_dir").cast("int").desc(), F.lower("name"), "path")
+    order = ["depth", "parent", F.col("is_dir").cast("int").desc(), F.lower("name"), "path"]
+    # no entry beyond ``limit`` of its own share can be among the first ``limit`` of all
+    share = Window.partitionBy(WS, F.pmod(F.xxhash64("path"), F.lit(LISTING_SHARES))).orderBy(*order)
+    entries = entries.withColumn("_n", F.row_number().over(share)).filter(F.col("_n") <= limit).drop("_n")
+    order = Window.partitionBy(WS).orderBy(*order)
     return entries.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
+from ..session import skew_join
 from .iterate import k_hop
 
 WS = "workspace_id"
@@ -26,7 +27,11 @@ def allowed_edges(edges: DataFrame, level: int = 3) -> DataFrame:
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose both ends are in ``nodes``."""
+    """Edges whose both ends are in ``nodes``.
+
+    Plain semi joins: adaptive execution splits a hub's partition on the
+    edge side, and the node side has one row per key.
+    """
     kept = nodes.select(WS, "id")
     return (
         edges.join(kept.withColumnRenamed("id", "source"), [WS, "source"], "left_semi")
@@ -94,13 +99,13 @@ def lookup_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def dependencies(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct successors of each wanted id."""
     asked = wanted.select(WS, F.col("id").alias("source"))
-    return edges.join(asked, [WS, "source"], "left_semi").select(WS, F.col("source").alias("id"), F.col("target").alias("dependency")).distinct()
+    return skew_join(edges, asked, [WS, "source"], "left_semi").select(WS, F.col("source").alias("id"), F.col("target").alias("dependency")).distinct()
 
 
 def dependents(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct predecessors of each wanted id."""
     asked = wanted.select(WS, F.col("id").alias("target"))
-    return edges.join(asked, [WS, "target"], "left_semi").select(WS, F.col("target").alias("id"), F.col("source").alias("dependent")).distinct()
+    return skew_join(edges, asked, [WS, "target"], "left_semi").select(WS, F.col("target").alias("id"), F.col("source").alias("dependent")).distinct()
 
 
 def export_neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, depth: int = 2, level: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +132,7 @@ def change_impact(edges: DataFrame, changes: DataFrame) -> DataFrame:
 def affected_dependents(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """One row per (changed path, dependent)."""
     changed = paths.select(WS, "path", ids.module_id("path").alias("target")).distinct()
-    return edges.select(WS, "source", "target").distinct().join(changed, [WS, "target"]).select(WS, "path", F.col("source").alias("dependent"))
+    return skew_join(edges.select(WS, "source", "target").distinct(), changed, [WS, "target"]).select(WS, "path", F.col("source").alias("dependent"))
 
 
 def adjacency_with_labels(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def adjacency_with_labels(nodes: DataFrame, edges: DataFrame, wanted: DataFrame)
     both = edges.select(WS, "type", F.explode(F.array(outward, inward)).alias("e")).select(WS, "type", "e.*")
     labels = nodes.select(WS, F.col("id").alias("other"), F.col("label")).dropDuplicates([WS, "other"])
     return (
-        both.join(asked, [WS, "id"], "left_semi").join(labels, [WS, "other"], "left")
+        skew_join(skew_join(both, asked, [WS, "id"], "left_semi"), labels, [WS, "other"], "left")
         .select(WS, "id", "direction", "other", F.coalesce("label", "other").alias("label"), "type")
     )
 

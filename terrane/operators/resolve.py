@@ -3,7 +3,8 @@
 First-match-wins rules are written once as ranked candidates: explode them,
 make one equi-join with a lookup table, keep the best rank with ``min_by``.
 Requests are deduplicated before they are exploded, so a name imported a
-million times costs one lookup.
+million times costs one lookup; joins whose left side may hold a hot key
+(a package everyone imports) go through ``skew_join``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, rules
 from ..functions.ids import strings
+from ..session import skew_join
 
 WS = "workspace_id"
 
@@ -102,11 +104,11 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         )
     )
     resolved = (
-        guesses.join(lookup, [WS, "kind", "key"]).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
+        skew_join(guesses, lookup, [WS, "kind", "key"]).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
         .select(WS, F.col("raw").alias("abs_module"), F.col("name").alias("_name"), "hit")
     )
     return (
-        usable.join(resolved, [WS, "abs_module", "_name"], "left")
+        skew_join(usable, resolved, [WS, "abs_module", "_name"], "left")
         .withColumn("target", F.coalesce("hit", "abs_module")).drop("hit", "_name")
     )
 
@@ -202,11 +204,11 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, modules: DataFrame, leve
     )
     owners = modules.select(WS, F.col("module_name").alias("_prefix"), F.lit(True).alias("_owned")).distinct()
     seen = (
-        wanted.join(local, [WS, "module_name", "_last"], "left")
+        skew_join(wanted, local, [WS, "module_name", "_last"], "left")
         .withColumn("_prefix", F.when(F.col("_local").isNull(), ids.prefix_of("_raw")))
     )
     placed = seen.filter("_local IS NOT NULL").withColumn("target", F.col("_local"))
-    foreign = seen.filter("_local IS NULL").join(owners, [WS, "_prefix"], "left_semi").withColumn("target", F.col("_raw"))
+    foreign = skew_join(seen.filter("_local IS NULL"), owners, [WS, "_prefix"], "left_semi").withColumn("target", F.col("_raw"))
     return placed.unionByName(foreign).select(*calls.columns, "target")
 
 
@@ -219,11 +221,8 @@ def resolve_bases(bases: DataFrame, classes: DataFrame, scope: DataFrame) -> Dat
         .agg(*[F.max(F.when(F.col("kind") == k, F.col("target"))).alias(f"_{k}") for k in ("class", "symbol", "module")])
     )
     raw = F.trim("raw_base")
-    known = (
-        bases.withColumn("_raw", raw).filter(ids.is_semantic_id("_raw"))
-        .withColumn("_head", F.substring_index("_raw", ".", 1))
-        .join(names, [WS, "module_name", "_head"], "left")
-    )
+    asked = bases.withColumn("_raw", raw).filter(ids.is_semantic_id("_raw")).withColumn("_head", F.substring_index("_raw", ".", 1))
+    known = skew_join(asked, names, [WS, "module_name", "_head"], "left")
     dotted = F.col("_raw").contains(".")
     rest = F.expr("substring(_raw, length(_head) + 2)")
     through = F.coalesce("_module", "_symbol")

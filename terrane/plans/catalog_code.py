@@ -223,8 +223,6 @@ def _(spark, sf):
 
 
 # a new version of each Python file: one in three unchanged, one without imports, one that no longer parses
-EDITED = {0: "same", 1: "no imports", 2: "broken"}
-
 
 def edited(spark, sf):
     files = source_files(spark, sf).filter("path LIKE '%.py'").join(view(spark, sf, "fx_modules").select(WS, "path", "k"), [WS, "path"])
@@ -247,10 +245,10 @@ def _(spark, sf):
 
 
 @register("validate_changes", oracle("""
-SELECT p.workspace_id, p.path, k % 3 = 0 OR (k % 3 = 1 AND coalesce(i.n, 0) = 0) AS is_valid, CASE k % 3 WHEN 2 THEN 1 ELSE 0 END AS syntax_errors, CASE k % 3 WHEN 1 THEN coalesce(i.n, 0) ELSE 0 END AS import_errors,
-  0 AS breaking_changes, coalesce(d.n, 0) AS affected_dependents, 0 AS complexity_delta FROM py p
+SELECT p.workspace_id, p.path, k % 3 = 0 OR (k % 3 = 1 AND coalesce(i.n, 0) = 0) AS is_valid, CASE k % 3 WHEN 2 THEN CAST(1 AS BIGINT) ELSE 0 END AS syntax_errors, CASE k % 3 WHEN 1 THEN coalesce(i.n, 0) ELSE 0 END AS import_errors,
+  CAST(0 AS BIGINT) AS breaking_changes, coalesce(d.n, 0) AS affected_dependents, 0 AS complexity_delta FROM py p
 LEFT JOIN (SELECT workspace_id, module_name, count(DISTINCT coalesce(name, raw_module)) AS n FROM fx_imports GROUP BY ALL) i ON i.workspace_id = p.workspace_id AND i.module_name = p.module_name
-LEFT JOIN (SELECT workspace_id, target, count(DISTINCT source) AS n FROM fx_edges GROUP BY ALL) d ON d.workspace_id = p.workspace_id AND d.target = p.module_name""".replace("1 ELSE 0 END AS syntax", "CAST(1 AS BIGINT) ELSE 0 END AS syntax").replace("0 AS breaking", "CAST(0 AS BIGINT) AS breaking"), **LANG))
+LEFT JOIN (SELECT workspace_id, target, count(DISTINCT source) AS n FROM fx_edges GROUP BY ALL) d ON d.workspace_id = p.workspace_id AND d.target = p.module_name""", **LANG))
 def _(spark, sf):
     return ch.validate_changes(edited(spark, sf), view(spark, sf, "fx_edges"))
 

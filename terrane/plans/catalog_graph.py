@@ -365,8 +365,8 @@ IMPACT_CHANGES = "SELECT workspace_id, path, module_name, removes_symbol FROM fx
 
 
 @register("change_impact", oracle("""
-SELECT c.*, n AS num_affected, CASE WHEN removes_symbol THEN 'critical' WHEN n > 20 THEN 'high' WHEN n > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM (
-  SELECT c.*, (SELECT count(DISTINCT source) FROM ie e WHERE e.workspace_id = c.workspace_id AND e.target = c.module_name) AS n FROM ic c) c""".replace("SELECT c.*, n AS", "SELECT workspace_id, path, module_name, removes_symbol, n AS"),
+SELECT workspace_id, path, module_name, removes_symbol, n AS num_affected, CASE WHEN removes_symbol THEN 'critical' WHEN n > 20 THEN 'high' WHEN n > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM (
+  SELECT c.*, (SELECT count(DISTINCT source) FROM ie e WHERE e.workspace_id = c.workspace_id AND e.target = c.module_name) AS n FROM ic c) c""",
     ie=IMPACT_EDGES, ic=IMPACT_CHANGES))
 def _(spark, sf):
     return graph.change_impact(query(spark, sf, IMPACT_EDGES), query(spark, sf, IMPACT_CHANGES))

@@ -96,7 +96,7 @@ def version_chunks(spark, sf):
     return ck.chunk_tokens(old), ck.chunk_tokens(new)
 
 
-@register("diff_chunks", oracle("SELECT id, CAST(doc_id AS STRING) AS source, change FROM d", d=DIFF, **{}) if False else oracle("SELECT id, CAST(doc_id AS STRING) AS source, change FROM d", **DIFFED, d=DIFF))
+@register("diff_chunks", oracle("SELECT id, CAST(doc_id AS STRING) AS source, change FROM d", **DIFFED, d=DIFF))
 def _(spark, sf):
     return ck.diff_chunks(*version_chunks(spark, sf))
 
