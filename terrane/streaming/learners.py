@@ -23,10 +23,10 @@ def stream_topic_totals(interactions: DataFrame) -> DataFrame:
     return learning.topic_totals(interactions)
 
 
-_EVENT = "session_id bigint, is_session boolean, ts timestamp, eval_id bigint, concept_focus string, difficulty string"
-_OUT = "eval_id bigint, session_id bigint, eval_ts timestamp, consumed boolean, focus string, difficulty string"
+# moments cross into Python as microseconds, free of any session time zone
+_OUT = "eval_id bigint, session_id bigint, eval_us bigint, consumed boolean, focus string, difficulty string"
 _STATE = "created_us bigint, focus string, difficulty string, eval_us bigint, eval_id bigint"
-_COLUMNS = ["eval_id", "session_id", "eval_ts", "consumed", "focus", "difficulty"]
+_COLUMNS = ["eval_id", "session_id", "eval_us", "consumed", "focus", "difficulty"]
 
 
 def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 minutes", hours: int = rules.SESSION_HOURS) -> DataFrame:
@@ -56,7 +56,7 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
         rows = []
 
         def out(eval_id, us, used):
-            rows.append((eval_id, key[0], pd.Timestamp(us, unit="us"), used, focus if used else None, difficulty if used else None))
+            rows.append((eval_id, key[0], us, used, focus if used else None, difficulty if used else None))
 
         if state.hasTimedOut:
             if best_id is not None:
@@ -65,8 +65,7 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
             state.remove()
         else:
             for pdf in frames:
-                stamps = pdf["ts"].astype("datetime64[us]").astype("int64")
-                for is_session, us, eval_id, f, d in zip(pdf["is_session"], stamps, pdf["eval_id"], pdf["concept_focus"], pdf["difficulty"]):
+                for is_session, us, eval_id, f, d in zip(pdf["is_session"], pdf["us"], pdf["eval_id"], pdf["concept_focus"], pdf["difficulty"]):
                     if is_session:
                         created, focus, difficulty = int(us), f, d
                     elif best_id is None:
@@ -82,10 +81,10 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
     matched = (
-        opened.unionByName(judged).withWatermark("ts", lateness).groupBy("session_id")
+        opened.unionByName(judged).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("session_id")
         .applyInPandasWithState(settle, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
-    return matched
+    return matched.select("eval_id", "session_id", F.timestamp_micros("eval_us").alias("eval_ts"), "consumed", "focus", "difficulty")
 
 
 def sessionless(evals: DataFrame) -> DataFrame:
