@@ -99,13 +99,13 @@ def lookup_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def dependencies(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct successors of each wanted id."""
     asked = wanted.select(WS, F.col("id").alias("source"))
-    return skew_join(edges, asked, [WS, "source"], "left_semi").select(WS, F.col("source").alias("id"), F.col("target").alias("dependency")).distinct()
+    return skew_join(edges, asked, [WS, "source"], "left_semi", rows=edges.count()).select(WS, F.col("source").alias("id"), F.col("target").alias("dependency")).distinct()
 
 
 def dependents(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Direct predecessors of each wanted id."""
     asked = wanted.select(WS, F.col("id").alias("target"))
-    return skew_join(edges, asked, [WS, "target"], "left_semi").select(WS, F.col("target").alias("id"), F.col("source").alias("dependent")).distinct()
+    return skew_join(edges, asked, [WS, "target"], "left_semi", rows=edges.count()).select(WS, F.col("target").alias("id"), F.col("source").alias("dependent")).distinct()
 
 
 def export_neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, depth: int = 2, level: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -132,18 +132,18 @@ def change_impact(edges: DataFrame, changes: DataFrame) -> DataFrame:
 def affected_dependents(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """One row per (changed path, dependent)."""
     changed = paths.select(WS, "path", ids.module_id("path").alias("target")).distinct()
-    return skew_join(edges.select(WS, "source", "target").distinct(), changed, [WS, "target"]).select(WS, "path", F.col("source").alias("dependent"))
+    return skew_join(edges.select(WS, "source", "target").distinct(), changed, [WS, "target"], rows=edges.count()).select(WS, "path", F.col("source").alias("dependent"))
 
 
 def adjacency_with_labels(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """In and out edges of wanted nodes, labelled by the other end's label or id."""
-    asked = wanted.select(WS, "id")
+    asked, bound = wanted.select(WS, "id"), 2 * edges.count()
     outward = F.struct(F.col("source").alias("id"), F.lit("out").alias("direction"), F.col("target").alias("other"))
     inward = F.struct(F.col("target").alias("id"), F.lit("in").alias("direction"), F.col("source").alias("other"))
     both = edges.select(WS, "type", F.explode(F.array(outward, inward)).alias("e")).select(WS, "type", "e.*")
     labels = nodes.select(WS, F.col("id").alias("other"), F.col("label")).dropDuplicates([WS, "other"])
     return (
-        skew_join(skew_join(both, asked, [WS, "id"], "left_semi"), labels, [WS, "other"], "left")
+        skew_join(skew_join(both, asked, [WS, "id"], "left_semi", rows=bound), labels, [WS, "other"], "left", rows=bound)
         .select(WS, "id", "direction", "other", F.coalesce("label", "other").alias("label"), "type")
     )
 

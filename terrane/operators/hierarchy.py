@@ -104,7 +104,7 @@ def collapse_folder_chains(hierarchy: DataFrame) -> DataFrame:
     )
     moved = head.select(WS, F.col("id").alias("parent_id"), F.col("head").alias("_head"))
     kept = hierarchy.join(head.select(WS, "id"), [WS, "id"], "left_anti").join(merged, [WS, "id"], "left")
-    return skew_join(kept, moved, [WS, "parent_id"], "left").select(
+    return skew_join(kept, moved, [WS, "parent_id"], "left", rows=hierarchy.count()).select(
         WS, "id", "kind", F.concat_ws("/", "label", "_tail").alias("label"),
         F.when(F.col("_tail").isNotNull(), F.col("_path")).otherwise(F.col("path")).alias("path"),
         F.coalesce("_head", "parent_id").alias("parent_id"), "is_external",

@@ -91,6 +91,8 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         .filter(ids.is_semantic_id("abs_module") & ~ids.is_noise_namespace("abs_module"))
         .withColumn("_name", F.coalesce(F.trim("name"), F.lit("")))
     )
+    # a request repeats a key at most twice, so this bounds the rows of any key below
+    bound = 2 * imports.count()
     requests = usable.select(WS, F.col("abs_module").alias("raw"), F.col("_name").alias("name")).distinct()
     guesses = requests.select(WS, "raw", "name", F.posexplode(_candidates()).alias("rank", "g")).select(
         WS, "raw", "name", "rank", F.col("g.kind").alias("kind"), F.col("g.key").alias("key")
@@ -104,11 +106,11 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         )
     )
     resolved = (
-        skew_join(guesses, lookup, [WS, "kind", "key"]).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
+        skew_join(guesses, lookup, [WS, "kind", "key"], rows=bound).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
         .select(WS, F.col("raw").alias("abs_module"), F.col("name").alias("_name"), "hit")
     )
     return (
-        skew_join(usable, resolved, [WS, "abs_module", "_name"], "left")
+        skew_join(usable, resolved, [WS, "abs_module", "_name"], "left", rows=bound)
         .withColumn("target", F.coalesce("hit", "abs_module")).drop("hit", "_name")
     )
 
@@ -203,12 +205,13 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, modules: DataFrame, leve
         .agg(F.min_by("symbol_id", F.struct((F.col("kind") == "function").alias("f"), "ord")).alias("_local"))
     )
     owners = modules.select(WS, F.col("module_name").alias("_prefix"), F.lit(True).alias("_owned")).distinct()
+    bound = calls.count()
     seen = (
-        skew_join(wanted, local, [WS, "module_name", "_last"], "left")
+        skew_join(wanted, local, [WS, "module_name", "_last"], "left", rows=bound)
         .withColumn("_prefix", F.when(F.col("_local").isNull(), ids.prefix_of("_raw")))
     )
     placed = seen.filter("_local IS NOT NULL").withColumn("target", F.col("_local"))
-    foreign = skew_join(seen.filter("_local IS NULL"), owners, [WS, "_prefix"], "left_semi").withColumn("target", F.col("_raw"))
+    foreign = skew_join(seen.filter("_local IS NULL"), owners, [WS, "_prefix"], "left_semi", rows=bound).withColumn("target", F.col("_raw"))
     return placed.unionByName(foreign).select(*calls.columns, "target")
 
 
@@ -222,7 +225,7 @@ def resolve_bases(bases: DataFrame, classes: DataFrame, scope: DataFrame) -> Dat
     )
     raw = F.trim("raw_base")
     asked = bases.withColumn("_raw", raw).filter(ids.is_semantic_id("_raw")).withColumn("_head", F.substring_index("_raw", ".", 1))
-    known = skew_join(asked, names, [WS, "module_name", "_head"], "left")
+    known = skew_join(asked, names, [WS, "module_name", "_head"], "left", rows=bases.count())
     dotted = F.col("_raw").contains(".")
     rest = F.expr("substring(_raw, length(_head) + 2)")
     through = F.coalesce("_module", "_symbol")
