@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, rules
 from ..functions.ids import as_col, strings
+from ..session import skew_join
 
 WS = "workspace_id"
 LISTING_SHARES = 64
@@ -125,7 +126,7 @@ def resolve_file_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
         .join(by_name, [WS, "name"]).groupBy(WS, "ref").agg(F.min_by("path", "rank").alias("named"))
     )
     found = asked.select(WS, "ref").join(on_path, [WS, "ref"], "left").join(on_name, [WS, "ref"], "left")
-    return refs.join(found.select(WS, "ref", F.coalesce("direct", "named").alias("path")), [WS, "ref"], "left")
+    return skew_join(refs, found.select(WS, "ref", F.coalesce("direct", "named").alias("path")), [WS, "ref"], "left", rows=refs.count())
 
 
 def strip_root_prefix(path: Column | str, root: Column | str) -> Column:

@@ -153,7 +153,7 @@ def resolve_js_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy(WS, "folder", "spec").agg(F.min_by("path", "rank").alias("hit"))
     )
     return (
-        imports.withColumn("folder", ids.parent_path("importer")).join(hits, [WS, "folder", "spec"], "left")
+        skew_join(imports.withColumn("folder", ids.parent_path("importer")), hits, [WS, "folder", "spec"], "left", rows=imports.count())
         .withColumn("target", F.coalesce(ids.module_id("hit"), F.col("spec"))).drop("folder", "hit")
     )
 
