@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, minhash, mixing, packing, quality
+from . import caps, hnsw, linededup, minhash, mixing, packing, quality, toxicity, wrappers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,21 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op1_wrappers")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf, "pages"))
+
+
+@query("op2_caps")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op3_hnsw")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf, "embeddings"))
+
+
 @query("op4_minhash")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), width=3, least=85, of=100)
@@ -45,6 +60,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary())
