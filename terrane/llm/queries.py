@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, hnsw, linededup, minhash, mixing, packing, quality, toxicity, wrappers
+from . import caps, hnsw, linededup, minhash, mixing, packing, quality, repeats, toxicity, wrappers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+@query("op7_suffixes")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
