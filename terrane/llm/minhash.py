@@ -10,52 +10,62 @@ confirmed on full shingle sets.
 
 A posting never yields all its pairs.  Its members are first compared with
 one leader each, in a few rounds.  What has joined one component by then needs
-no further comparison; only members outside their posting's main component
-are then compared with the rest of it.
+no further comparison.  Postings that still hold several components are dealt
+into squares of bounded size; a task compares the members of a square that
+lie in different components, by size, signature, a finer sketch and at last
+their full sets, and passes on a spanning set of the links it finds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, only, staged
-from .shingles import digest, shingle_set, signature
+from .shingles import bins, digest, shingle_set, signature
 
 COORDS = 16
 MATCHES = 6
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Side of a square of a posting, and rows that one task of small squares gets.
+SIDE = 256
+TASK_ROWS = 2000
+#: A sketch rejects a pair only this many standard deviations below the threshold.
+DEVIATIONS = 5.0
 
 
 def sketch(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of every row; texts without words have no signature."""
+    """(doc_id, n_shingles, digest, sig, bins) of every row; texts without words have no signature."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, marks, sigs = [], [], []
+            sizes, marks, sigs, fine = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
-                sizes.append(len(s)), marks.append(digest(s)), sigs.append(signature(s, coords).tolist() if len(s) else None)
+                sizes.append(len(s)), marks.append(digest(s)), sigs.append(signature(s, coords).tolist() if len(s) else None), fine.append(bins(s))
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(fine, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sig", "bins"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, sig array<bigint>")
+    return rows.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, sig array<bigint>, bins binary")
 
 
 def prefixes(classes: DataFrame, coords: int, matches: int) -> DataFrame:
-    """(j, v, rep, sig): the rarest postings of each class that others share."""
+    """(j, v, rep, sig, n): the rarest postings of each class that others share."""
     posted = classes.select("rep", F.posexplode("sig").alias("j", "v"))
     shared = posted.groupBy("j", "v").agg(F.count("*").alias("n")).filter("n > 1")
     # Postings of one class only come first in its order, and join with nothing.
     ranked = posted.join(shared, ["j", "v"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "j", "v"))).alias("p"))
     rare = ranked.filter(F.size("p") >= matches).select("rep", F.explode(F.expr(f"slice(p, 1, size(p) - {matches - 1})")).alias("e"))
-    return rare.join(classes.select("rep", "sig"), "rep").select("e.j", "e.v", "rep", "sig")
+    return rare.join(classes.select("rep", "sig", "n_shingles"), "rep").select("e.j", "e.v", "rep", "sig", F.col("n_shingles").alias("n"))
 
 
 def _agree(a: str, b: str) -> str:
@@ -76,8 +86,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, digests: DataFrame, width: int, l
     )
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             links = []
             known: tuple[str, object] = ("", None)
@@ -103,38 +111,104 @@ def class_links(classes: DataFrame, docs: DataFrame, width: int, least: int, of:
     """(a, b): links between class representatives that join the same components as all links would."""
     members = staged(prefixes(classes, coords, matches), "postings")
     digests = classes.select(F.col("rep").alias("doc_id"), "digest")
-    links, tried = None, None
+    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     labelled = members.withColumn("component", F.col("rep"))
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn in range(LEADER_ROUNDS):
         # Postings with one component left are done.
         mixed = labelled.groupBy("j", "v").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "component"), F.xxhash64(F.lit(turn), "rep"), "rep", "sig", "component")).alias("lead"),
+            F.min(F.struct(F.xxhash64(F.lit(turn), "component"), F.xxhash64(F.lit(turn), "rep"), "rep", "sig", "n", "component")).alias("lead"),
         ).filter("low <> high")
-        if turn < LEADER_ROUNDS:
-            near = labelled.join(mixed.select("j", "v", "lead"), ["j", "v"]).filter(f"component <> lead.component AND {_agree('sig', 'lead.sig')} >= {matches}")
-            found = near.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct()
-        else:
-            size = labelled.groupBy("j", "v", "component").agg(F.count("*").alias("n"))
-            main = size.groupBy("j", "v").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("j", "v", F.col("m.component").alias("main"))
-            open_members = staged(labelled.join(main, ["j", "v"]), "open_postings")
-            outside = open_members.filter("component <> main").select("j", "v", F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("component").alias("ca"))
-            other = open_members.select("j", "v", F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("component").alias("cb"), F.col("main").alias("mb"))
-            # Two outsiders meet once, in the order of their ids.
-            found = outside.join(other, ["j", "v"]).filter(f"ca <> cb AND (cb = mb OR a < b) AND {_agree('sa', 'sb')} >= {matches}")
-            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = staged(found, "candidates")
-        if found.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        new = staged(confirm(found, docs, digests, width, least, of), "links")
-        links = new if links is None else links.unionByName(new)
-        tried = found if tried is None else tried.unionByName(found)
-        labelled = _labelled(members, links) if turn < LEADER_ROUNDS else labelled
-    return links if links is not None else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        near = labelled.join(mixed.select("j", "v", "lead"), ["j", "v"]).filter(
+            f"component <> lead.component AND {of} * least(n, lead.n) >= {least} * greatest(n, lead.n) AND {_agree('sig', 'lead.sig')} >= {matches}"
+        )
+        found = staged(near.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct(), "candidates")
+        links = links.unionByName(staged(confirm(found, docs, digests, width, least, of), "links"))
+        labelled = staged(_labelled(members, links), "labelled")
+    return links.unionByName(staged(square_links(labelled, classes, docs, width, least, of, matches), "links"))
+
+
+def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, of: int, matches: int) -> DataFrame:
+    """(a, b): links across components, from the postings that hold several."""
+    open_ = labelled.groupBy("j", "v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    rows = staged(labelled.join(open_.select("j", "v", "rows"), ["j", "v"]).withColumn("posting", F.xxhash64("j", "v")), "open_postings")
+    # A pair is looked at in the first posting it shares.
+    keys = rows.groupBy("rep").agg(F.sort_array(F.collect_set("posting")).alias("keys"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(keys, "rep").join(classes.select("rep", "digest", "bins"), "rep").dropDuplicates(["rep", "text"])
+    squares = F.greatest(F.lit(1), F.ceil(F.col("rows") / SIDE)).cast("int")
+    dealt = rows.select("posting", "rep", "sig", "n", "component", squares.alias("s"), F.pmod(F.xxhash64("rep"), squares).cast("int").alias("part"))
+    groups = max(1, math.ceil(rows.count() / TASK_ROWS))
+    cells = dealt.select("*", F.explode(F.expr("transform(sequence(0, s - 1), o -> struct(least(part, o) AS x, greatest(part, o) AS y))")).alias("cell")).select(
+        "posting", "rep", "sig", "n", "component", "part", "cell.x", "cell.y",
+        F.when(F.col("s") == 1, F.pmod("posting", F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("posting", "cell"), F.lit(1 << 62))).alias("task"),
+    )
+
+    def test(part: pd.DataFrame) -> pd.DataFrame:
+        # One row a class and task: the texts of a task's classes are made sets once.
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def full(row: int) -> np.ndarray | None:
+            rep = int(reps[row])
+            if rep not in sets:
+                s = shingle_set(texts_[row], width)
+                sets[rep] = s if digest(s) == digests_[row] else None
+            return sets[rep]
+
+        part = part.reset_index(drop=True)
+        reps, comps, texts_, digests_ = (part[c].to_numpy() for c in ("rep", "component", "text", "digest"))
+        sigs, sizes = np.stack(part["sig"].to_numpy()), part["n"].to_numpy()
+        fine = np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), 256)
+        keys_ = part["keys"].tolist()
+        links: list[tuple[int, int]] = []
+        for (posting, x, y), at in part.groupby(["posting", "x", "y"], sort=False).indices.items():
+            side = part["part"].to_numpy()[at]
+            left, right = at[side == x], at[side == y]
+            apart = comps[left][:, None] != comps[right][None, :]
+            a, b = sizes[left][:, None], sizes[right][None, :]
+            apart &= of * np.minimum(a, b) >= least * np.maximum(a, b)
+            if x == y:
+                apart = np.triu(apart, 1)
+            ia, ib = np.nonzero(apart)
+            ia, ib = left[ia], right[ib]
+            close = (sigs[ia] == sigs[ib]).sum(1) >= matches
+            ia, ib = ia[close], ib[close]
+            for i, j, estimate in _likely(fine, ia, ib, least / of):
+                p, q = root(int(comps[i])), root(int(comps[j]))
+                if p == q or _first_key(keys_[i], keys_[j]) != posting:
+                    continue
+                sa, sb = full(i), full(j)
+                if sa is None or sb is None:
+                    continue
+                both = len(np.intersect1d(sa, sb, assume_unique=True))
+                if of * both >= least * (len(sa) + len(sb) - both):
+                    parent[p] = q
+                    links.append((int(reps[i]), int(reps[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return cells.join(texts, "rep").groupBy("task").applyInPandas(test, "a long, b long")
+
+
+def _likely(fine: np.ndarray, ia: np.ndarray, ib: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Pairs whose share of equal bins does not rule out ``threshold``, the likeliest first."""
+    out = []
+    for at in range(0, len(ia), 50_000):
+        a, b = fine[ia[at : at + 50_000]], fine[ib[at : at + 50_000]]
+        used = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+        share = ((a == b) & (a > 0)).sum(1) / used
+        ok = share >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / used)
+        out += zip(ia[at : at + 50_000][ok].tolist(), ib[at : at + 50_000][ok].tolist(), share[ok].tolist())
+    return sorted(out, key=lambda x: -x[2])
+
+
+def _first_key(a, b) -> int | None:
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return int(shared[0]) if len(shared) else None
 
 
 def near_duplicates(
@@ -151,7 +225,7 @@ def near_duplicates(
     """
     rows = staged(sketch(docs, width, coords), "sketches")
     worded = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+    classes = staged(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("bins").alias("bins"), F.min("n_shingles").alias("n_shingles")), "classes")
     links = class_links(classes, docs, width, least, of, coords, matches)
     # Copies hang on their class; an id with several texts ties their classes together.
     copies = worded.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()

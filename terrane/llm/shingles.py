@@ -57,3 +57,13 @@ def signature(shingles: np.ndarray, coords: int) -> np.ndarray:
         values ^= values >> np.uint64(32)
         out[at : at + 8] = (values * _ODD[0]).min(1)
     return out.view(np.int64)
+
+
+def bins(shingles: np.ndarray) -> bytes:
+    """A byte for each of 256 parts of the hash range: its smallest shingle, or 0 if it is empty."""
+    out = np.zeros(256, np.uint8)
+    if len(shingles):
+        part = (shingles >> np.uint64(56)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[part[first]] = 1 + mixed(shingles[first] ^ _ODD[1]) % np.uint64(255)
+    return out.tobytes()
