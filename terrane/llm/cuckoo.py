@@ -93,11 +93,11 @@ class CuckooFilter:
     def delete(self, keys: np.ndarray) -> None:
         """Take out one fingerprint for each key; the keys must have been inserted."""
         bucket, prints = self._at(keys)
-        for b in (bucket, self._other(bucket, prints)):
-            if len(b) == 0:
+        for _ in range(2):
+            if len(bucket) == 0:
                 return
-            order = np.lexsort((prints, b))
-            b, p = b[order], prints[order]
+            order = np.lexsort((prints, bucket))
+            b, p = bucket[order], prints[order]
             same = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (p[1:] != p[:-1])])
             rank = np.arange(len(b)) - np.repeat(same, np.diff(np.r_[same, len(b)]))
             match = self.table[b] == p[:, None]
