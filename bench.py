@@ -13,6 +13,7 @@ import statistics
 import time
 
 from terrane.plans.catalog import QUERIES
+from terrane.plans.catalog_retrieval import sections
 from terrane.plans.code import source_files
 from terrane.plans.derived import view
 from terrane.plans.views import VIEWS
@@ -20,7 +21,7 @@ from tools.local import local_session
 
 HEADLINE = [
     "risky_modules", "resolve_imports", "build_graph", "node_risk", "k_hop", "connected_components", "rollup_edges",
-    "chunk_tokens", "merge_small_chunks", "pack_sections", "hash_embed", "knn", "extract_corpus", "diff_summary",
+    "chunk_tokens", "merge_small_chunks", "pack_sections", "hash_embed", "knn", "extract_corpus",
     "topic_attempts", "profile_report",
 ]
 
@@ -34,6 +35,7 @@ def main() -> None:
     for name in VIEWS:
         view(spark, sf_dir, name)
     source_files(spark, sf_dir)
+    sections(spark, sf_dir)
     setup = time.time() - start
     timings = {}
     for name in names:

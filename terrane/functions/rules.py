@@ -108,8 +108,6 @@ TOKEN_BUDGETS = {
     "evaluate": {"file": 0, "chunks": 4_000, "graph": 0},
 }
 TRUNCATION_MARK = "\n\n# ... truncated to fit context budget ..."
-CONTEXT_EDGE_LIMIT = 20
-SEED_CHARS = 2000
 COMPLEXITY_WORDS = ["if", "for", "while", "catch", "switch", "case"]
 COMPLEXITY_MARKS = ["&&", "||", "?"]
 

@@ -17,6 +17,11 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(as_col(c), BLANK), lambda w: w != "")
 
 
+def spaced_words(c: Column | str) -> Column:
+    """Words, each with the blanks before it: joined, they are the text up to its last word."""
+    return F.regexp_extract_all(as_col(c), F.lit(r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"), F.lit(0))
+
+
 def word_count(c: Column | str) -> Column:
     return F.regexp_count(as_col(c), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("bigint")
 

@@ -10,7 +10,6 @@ from ..functions.ids import as_col, strings
 from ..session import skew_join
 
 WS = "workspace_id"
-LISTING_SHARES = 64
 
 
 def drop_skipped_paths(files: DataFrame) -> DataFrame:
@@ -67,8 +66,12 @@ def visible_files(files: DataFrame) -> DataFrame:
     return shown.join(inside, [WS, "path"], "left_anti")
 
 
-def tree_listing(files: DataFrame, limit: int = 5000, depth: int | None = None) -> DataFrame:
-    """Folders and files of each workspace in (depth, parent, folders first, name) order, at most ``limit``."""
+def tree_listing(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """Every folder and file of each workspace, with its ``position`` in its folder (folders first, then by name).
+
+    Depth, parent and position give the breadth-first order, so a caller who
+    wants the first entries filters on them; no window spans a workspace.
+    """
     shown = visible_files(files)
     folders = shown.select(WS, F.explode(ids.path_prefixes("path")).alias("path")).distinct().select(
         WS, "path", F.lit(True).alias("is_dir"), F.lit(None).cast("bigint").alias("size")
@@ -80,12 +83,8 @@ def tree_listing(files: DataFrame, limit: int = 5000, depth: int | None = None)
     })
     if depth is not None:
         entries = entries.filter(F.col("depth") <= depth)
-    order = ["depth", "parent", F.col("is_dir").cast("int").desc(), F.lower("name"), "path"]
-    # no entry beyond ``limit`` of its own share can be among the first ``limit`` of all
-    share = Window.partitionBy(WS, F.pmod(F.xxhash64("path"), F.lit(LISTING_SHARES))).orderBy(*order)
-    entries = entries.withColumn("_n", F.row_number().over(share)).filter(F.col("_n") <= limit).drop("_n")
-    order = Window.partitionBy(WS).orderBy(*order)
-    return entries.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    siblings = Window.partitionBy(WS, "depth", "parent").orderBy(F.col("is_dir").cast("int").desc(), F.lower("name"), "path")
+    return entries.withColumn("position", F.row_number().over(siblings))
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ is_external)``; most questions become joins with its ancestor closure.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,9 +214,7 @@ def search_labels(kept: DataFrame, closure: DataFrame, text: str) -> DataFrame:
 
 
 def focus_neighborhood(rolled: DataFrame, visible: DataFrame, focus: DataFrame, depth: int = 1) -> DataFrame:
-    """Shown nodes within 1..3 hops of the focused ones over rolled-up edges."""
-    if not 1 <= depth <= 3:
-        raise ValueError("focus depth must lie in 1..3")
+    """Shown nodes within ``depth`` hops of the focused ones over rolled-up edges."""
     return k_hop(visible, rolled, focus, depth)
 
 
@@ -223,16 +223,23 @@ def _depths(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
     return hierarchy.join(up, [WS, "id"], "left").withColumn("depth", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def default_expansion(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
-    """Containers open at first sight: folders to a depth set by project size, and modules of small projects."""
+def default_expansion(
+    hierarchy: DataFrame, closure: DataFrame, folder_depths: Sequence[tuple[int, int]] = OPEN_FOLDER_DEPTHS, modules_up_to: int = OPEN_MODULES_UP_TO
+) -> DataFrame:
+    """Containers open at first sight: folders to a depth set by project size, and modules of small projects.
+
+    ``folder_depths`` lists (modules at most, folders open down to), smallest
+    first; larger projects open one level.  ``modules_up_to`` is the largest
+    project whose modules open too.
+    """
     sizes = hierarchy.filter("kind = 'module' AND NOT is_external").groupBy(WS).agg(F.count("*").alias("_modules"))
     n = F.coalesce("_modules", F.lit(0))
     limit = F.lit(1)
-    for most, depth in reversed(OPEN_FOLDER_DEPTHS):
+    for most, depth in reversed(folder_depths):
         limit = F.when(n <= most, depth).otherwise(limit)
     sized = lookup_join(_depths(hierarchy, closure), sizes, [WS])
     folder = (F.col("kind") == "folder") & (F.col("depth") < limit)
-    module = (F.col("kind") == "module") & (n <= OPEN_MODULES_UP_TO) & (F.col("depth") <= limit)
+    module = (F.col("kind") == "module") & (n <= modules_up_to) & (F.col("depth") <= limit)
     return sized.filter(folder | module).select(WS, "id")
 
 

@@ -139,16 +139,22 @@ def budget(task: Column | str, kind: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*rows), as_col(task)), F.lit(rules.TOKEN_BUDGETS["explain"][kind]))
 
 
-def prompt_table(files: DataFrame, mode: str = "words") -> DataFrame:
-    """Retrieval seed, file cut to its budget, and output budget per (task, path, content)."""
+def prompt_table(
+    files: DataFrame, mode: str = "words", seed_chars: int | None = None, least_output: int = 2048, most_output: int | None = None
+) -> DataFrame:
+    """Retrieval seed, file cut to its budget, and output budget per (task, path, content).
+
+    The seed holds the whole text unless ``seed_chars`` is given; the output
+    budget is 1.3 times the shown tokens, within the two bounds.
+    """
     from .chunks import truncate_head
 
     has = F.coalesce(F.length("content"), F.lit(0)) > 0
-    seed = F.when(has, F.concat("path", F.lit("\n\n"), F.left("content", F.lit(rules.SEED_CHARS)))).otherwise(F.col("path"))
+    seed = F.when(has, F.concat("path", F.lit("\n\n"), "content" if seed_chars is None else F.left("content", F.lit(seed_chars)))).otherwise(F.col("path"))
     body = files.withColumns({"seed": seed, "file_budget": budget("task", "file"), "chunk_budget": budget("task", "chunks"), "graph_budget": budget("task", "graph")})
     cut = body.withColumn("body", truncate_head("content", F.col("file_budget")))
     grown = F.floor(text.token_count("body", mode) * F.lit(1.3)).cast("bigint")
-    return cut.withColumn("output_budget", F.greatest(F.lit(2048).cast("bigint"), F.least(F.lit(8192).cast("bigint"), grown)))
+    return cut.withColumn("output_budget", F.greatest(F.lit(least_output).cast("bigint"), grown if most_output is None else F.least(F.lit(most_output).cast("bigint"), grown)))
 
 
 def cached_results(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

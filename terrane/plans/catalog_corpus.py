@@ -68,11 +68,11 @@ UNION ALL SELECT DISTINCT workspace_id, array_to_string(string_split(path, '/')[
 
 
 @register("tree_listing", oracle("""
-SELECT workspace_id, path, string_split(path, '/')[-1] AS name, kind, size, CASE WHEN kind = 'file' THEN CASE regexp_extract(path, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'md' THEN 'markdown' ELSE 'typescript' END END AS language, CAST(rn AS INT) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY len(string_split(path, '/')), regexp_extract(path, '^(.*)/', 1), kind <> 'folder', lower(string_split(path, '/')[-1]), path) AS rn FROM entries) e WHERE rn <= 5000""",
+SELECT workspace_id, path, string_split(path, '/')[-1] AS name, kind, size, CASE WHEN kind = 'file' THEN CASE regexp_extract(path, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'md' THEN 'markdown' ELSE 'typescript' END END AS language, CAST(rn AS INT) AS position, CAST(len(string_split(path, '/')) AS INT) AS depth FROM (
+  SELECT *, row_number() OVER (PARTITION BY workspace_id, len(string_split(path, '/')), regexp_extract(path, '^(.*)/', 1) ORDER BY kind <> 'folder', lower(string_split(path, '/')[-1]), path) AS rn FROM entries) e""",
     listed=LISTED, shown=SHOWN, entries=ENTRIES))
 def _(spark, sf):
-    return corpus.tree_listing(query(spark, sf, LISTED)).select(WS, "path", "name", "kind", "size", "language", "position")
+    return corpus.tree_listing(query(spark, sf, LISTED)).select(WS, "path", "name", "kind", "size", "language", "position", "depth")
 
 
 @register("folder_rollup", oracle("""

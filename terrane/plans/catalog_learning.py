@@ -242,9 +242,9 @@ TASKED = "SELECT CASE doc_id % 5 WHEN 0 THEN 'explain' WHEN 1 THEN 'refactor' WH
 
 
 @register("prompt_table", oracle(r"""
-SELECT doc_id, task, sha256(path || chr(10) || chr(10) || left(content, 2000)) AS seed, fb AS file_budget, cb AS chunk_budget, gb AS graph_budget, sha256(body) AS body,
-  greatest(2048, least(8192, CAST(floor(len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) * 1.3) AS BIGINT))) AS output_budget
-FROM (SELECT *, CASE WHEN fb = 0 THEN '' WHEN len(w) <= fb THEN content ELSE array_to_string(w[1:fb], ' ') || chr(10) || chr(10) || '# ... truncated to fit context budget ...' END AS body FROM (
+SELECT doc_id, task, sha256(path || chr(10) || chr(10) || content) AS seed, fb AS file_budget, cb AS chunk_budget, gb AS graph_budget, sha256(body) AS body,
+  greatest(2048, CAST(floor(len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) * 1.3) AS BIGINT)) AS output_budget
+FROM (SELECT *, CASE WHEN fb = 0 THEN '' WHEN len(w) <= fb THEN content ELSE array_to_string(regexp_extract_all(content, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+')[1:fb], '') || chr(10) || chr(10) || '# ... truncated to fit context budget ...' END AS body FROM (
   SELECT *, regexp_extract_all(content, '[^ \t\n\x0B\f\r]+') AS w,
     CASE task WHEN 'refactor' THEN 100000 WHEN 'teach' THEN 20000 WHEN 'evaluate' THEN 0 ELSE 60000 END AS fb,
     CASE task WHEN 'teach' THEN 6000 WHEN 'evaluate' THEN 4000 ELSE 8000 END AS cb, CASE task WHEN 'evaluate' THEN 0 ELSE 2000 END AS gb FROM t) a) b""", t=TASKED))

@@ -101,8 +101,8 @@ def _(spark, sf):
     return ck.diff_chunks(*version_chunks(spark, sf))
 
 
-@register("truncate_head", f"""
-SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' WHEN len(w) <= 100 THEN text ELSE array_to_string(w[1:100], ' ') || chr(10) || chr(10) || '# ... truncated to fit context budget ...' END AS head
+@register("truncate_head", rf"""
+SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' WHEN len(w) <= 100 THEN text ELSE array_to_string(regexp_extract_all(text, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+')[1:100], '') || chr(10) || chr(10) || '# ... truncated to fit context budget ...' END AS head
 FROM (SELECT doc_id, text, {words_sql('text')} AS w FROM documents) d""")
 def _(spark, sf):
     budget = F.when(F.col("doc_id") % 50 == 0, 0).otherwise(100)
@@ -227,7 +227,7 @@ def _(spark, sf):
     return vectors.scope(view(spark, sf, "fx_modules"), asked, "w0").groupBy("requested", WS).agg(F.count("*").alias("modules"))
 
 
-FILES_OF = "SELECT vec_id, 'w0' AS workspace_id, path AS source FROM embeddings JOIN fx_modules ON k = vec_id AND workspace_id = 'w0' AND path LIKE 'src/%'"
+FILES_OF = "SELECT vec_id, workspace_id, path AS source FROM embeddings JOIN fx_modules ON k = vec_id AND path LIKE 'src/%'"
 
 
 @register("retrieve_context", oracle("""
@@ -254,7 +254,7 @@ ORDERED = "SELECT workspace_id || ':' || source AS query_id, row_number() OVER (
 
 
 @register("pack_edges", oracle("""
-SELECT o.query_id, CAST(ord AS INT) AS ord, '- ' || source || ' --' || type || '--> ' || target AS line, n - least(n, 15) AS remaining FROM ordered o
-JOIN (SELECT query_id, count(*) AS n FROM ordered GROUP BY query_id) t ON t.query_id = o.query_id WHERE ord <= 15""", ordered=ORDERED))
+SELECT o.query_id, CAST(ord AS INT) AS ord, '- ' || source || ' --' || type || '--> ' || target AS line, n - least(n, 40) AS remaining FROM ordered o
+JOIN (SELECT query_id, count(*) AS n FROM ordered GROUP BY query_id) t ON t.query_id = o.query_id WHERE ord <= 40""", ordered=ORDERED))
 def _(spark, sf):
-    return context.pack_edges(query(spark, sf, ORDERED), 62)
+    return context.pack_edges(query(spark, sf, ORDERED), 160)

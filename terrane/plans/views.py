@@ -24,9 +24,9 @@ SELECT w.workspace_id, k, path, regexp_replace(replace(path, '/', '.'), '[.](py|
 # workspace_id string; a bigint; b bigint
 VIEWS["fx_pairs_ab"] = """
 SELECT DISTINCT 'w' || CAST(o % 2 AS STRING) AS workspace_id, a, b FROM (
-  SELECT l_orderkey AS o, l_partkey AS a, l_quantity AS q,
+  SELECT l_orderkey AS o, l_partkey AS a,
     lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS b FROM lineitem) t
-WHERE b IS NOT NULL AND a <> b AND (q < 5 OR a % 50 = 0)
+WHERE b IS NOT NULL AND a <> b
 """
 
 # workspace_id string; module_name string; ord bigint; type string; raw_module string; name string; alias string; level int
@@ -59,7 +59,7 @@ UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'class', lower(c_name), 's' |
 VIEWS["fx_deps"] = """
 SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) AS source, 's' || CAST(l_suppkey AS STRING) AS target,
   CASE l_returnflag WHEN 'R' THEN 'imports' WHEN 'A' THEN 'calls' ELSE 'inherits' END AS type
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity < 5
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 """
 
 # event_id bigint; user_id bigint; ts timestamp_ntz; event_type string; k int; topic string; outcome string; score double

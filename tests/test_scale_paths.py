@@ -99,7 +99,7 @@ def test_knn_is_exact_across_cells_and_blocks(spark):
     base[100:200] = base[100]  # a third are copies of one vector
     store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
     queries = store.withColumnRenamed("vec_id", "query_id")
-    got = knn(queries, store, 4, cell_rows=30, block_rows=25, query_block=40).select("query_id", "rank", "vec_id")
+    got = knn(queries, store, 4, block_bytes=4000).select("query_id", "rank", "vec_id")
     d = ((base[:, None, :].astype(float) - base[None, :, :]) ** 2).sum(2)
     want = [(q, r + 1, v) for q in range(300) for r, v in enumerate(sorted(range(300), key=lambda v: (d[q, v], v))[:4])]
     assert rows(got) == sorted(want)
