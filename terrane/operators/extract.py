@@ -200,9 +200,8 @@ def extract_js(files: DataFrame, settle: bool = False) -> dict[str, DataFrame]:
     method_calls = methods.select(WS, "path", mod.alias("module_name"), member.alias("caller_id"), F.explode("calls").alias("raw_target"))
     nothing = F.lit(None).cast("string")
     tops = blocks.select(WS, "path", mod.alias("module_name"), "kind", nothing.alias("class_name"), "name", own.alias("symbol_id"), (F.col("ord") * 1000).alias("ord"))
-    classes = blocks.filter("kind = 'class'").select(WS, "path", F.col("name").alias("class_name"), F.col("ord").alias("_at"))
-    members = methods.join(classes, [WS, "path", "class_name"]).select(
-        WS, "path", mod.alias("module_name"), F.lit("method").alias("kind"), "class_name", "name", member.alias("symbol_id"), (F.col("_at") * 1000 + F.col("ord") + 1).alias("ord")
+    members = methods.select(
+        WS, "path", mod.alias("module_name"), F.lit("method").alias("kind"), "class_name", "name", member.alias("symbol_id"), (F.col("block_ord") * 1000 + F.col("ord") + 1).alias("ord")
     )
     language = F.when(F.col("path").rlike(r"\.(js|jsx|mjs|cjs)$"), "javascript").otherwise("typescript")
     return {

@@ -92,7 +92,7 @@ def _(spark, sf):
 SELECT w.workspace_id, w.path, class_name, CAST(ord - 2 AS INT) AS ord, s.name, (SELECT string_agg(callee, ',' ORDER BY callee) FROM called c WHERE c.workspace_id = w.workspace_id AND c.path = w.path) AS calls
 FROM fx_symbols s JOIN web w USING (workspace_id, module_name) WHERE s.kind = 'method'""", **LANG, called=CALLED))
 def _(spark, sf):
-    return js.mine_js_methods(blocks(spark, sf)).withColumn("calls", F.array_join("calls", ","))
+    return js.mine_js_methods(blocks(spark, sf)).drop("block_ord").withColumn("calls", F.array_join("calls", ","))
 
 
 @register("extract_corpus", oracle("""

@@ -83,3 +83,10 @@ def test_syntax(files):
         ("bad/bracket.js", None, "Unclosed bracket '(' opened at line 1"), ("bad/mismatch.js", 1, "Mismatched bracket ']', expected closing for '(' from line 1"),
         ("bad/string.js", None, "Unclosed string literal (')"), ("bad/comment.js", None, "Unclosed block comment"), ("bad/extra.js", 3, "Unmatched closing bracket ')'"),
     }
+
+
+def test_classes_of_one_name_keep_their_own_methods(spark):
+    code = "class A {\n  one() {\n  }\n}\nclass A {\n  two() {\n  }\n}\n"
+    files = spark.createDataFrame([("w", "a.ts", code)], "workspace_id string, path string, content string")
+    got = [r["name"] for r in extract.extract_js(files)["symbols"].filter("kind = 'method'").collect()]
+    assert sorted(got) == ["one", "two"]
