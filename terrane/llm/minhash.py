@@ -32,7 +32,7 @@ from .shingles import bins, digest, shingle_set, signature
 
 COORDS = 16
 MATCHES = 6
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: Side of a square of a posting, and rows that one task of small squares gets.
 SIDE = 256
 TASK_ROWS = 2000
@@ -122,7 +122,8 @@ def class_links(classes: DataFrame, docs: DataFrame, width: int, least: int, of:
         near = labelled.join(mixed.select("j", "v", "lead"), ["j", "v"]).filter(
             f"component <> lead.component AND {of} * least(n, lead.n) >= {least} * greatest(n, lead.n) AND {_agree('sig', 'lead.sig')} >= {matches}"
         )
-        found = staged(near.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct(), "candidates")
+        found = near.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct()
+        found = staged(likely_pairs(found, classes, least / of), "candidates")
         links = links.unionByName(staged(confirm(found, docs, digests, width, least, of), "links"))
         labelled = staged(_labelled(members, links), "labelled")
     return links.unionByName(staged(square_links(labelled, classes, docs, width, least, of, matches), "links"))
@@ -134,19 +135,45 @@ def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width
     rows = staged(labelled.join(open_.select("j", "v", "rows"), ["j", "v"]).withColumn("posting", F.xxhash64("j", "v")), "open_postings")
     # A pair is looked at in the first posting it shares.
     keys = rows.groupBy("rep").agg(F.sort_array(F.collect_set("posting")).alias("keys"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(keys, "rep").join(classes.select("rep", "digest", "bins"), "rep").dropDuplicates(["rep", "text"])
     squares = F.greatest(F.lit(1), F.ceil(F.col("rows") / SIDE)).cast("int")
     dealt = rows.select("posting", "rep", "sig", "n", "component", squares.alias("s"), F.pmod(F.xxhash64("rep"), squares).cast("int").alias("part"))
     groups = max(1, math.ceil(rows.count() / TASK_ROWS))
     cells = dealt.select("*", F.explode(F.expr("transform(sequence(0, s - 1), o -> struct(least(part, o) AS x, greatest(part, o) AS y))")).alias("cell")).select(
-        "posting", "rep", "sig", "n", "component", "part", "cell.x", "cell.y",
+        "posting", "rep", "sig", "n", "component", "part", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"),
         F.when(F.col("s") == 1, F.pmod("posting", F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("posting", "cell"), F.lit(1 << 62))).alias("task"),
     )
 
+    asked = cells.join(keys, "rep").join(classes.select("rep", "digest", "bins"), "rep")
+    columns = asked.columns
+
+    def pairs(part: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
+        """Per square, the pairs of rows that only full sets can decide."""
+        reps, comps, sizes, side, keys_ = (part[c].to_numpy() for c in ("rep", "component", "n", "part", "keys"))
+        sigs, fine = np.stack(part["sig"].to_numpy()), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), 256)
+        for (posting, x, y), at in part.groupby(["posting", "x", "y"], sort=False).indices.items():
+            left, right = at[side[at] == x], at[side[at] == y]
+            apart = comps[left][:, None] != comps[right][None, :]
+            a, b = sizes[left][:, None], sizes[right][None, :]
+            apart &= of * np.minimum(a, b) >= least * np.maximum(a, b)
+            if x == y:
+                apart = np.triu(apart, 1)
+            ia, ib = np.nonzero(apart)
+            ia, ib = left[ia], right[ib]
+            close = (sigs[ia] == sigs[ib]).sum(1) >= matches
+            found = _likely(fine, ia[close], ib[close], least / of)
+            yield [(i, j) for i, j, _ in found if _first_key(keys_[i], keys_[j]) == posting]
+
+    def open_rows(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.reset_index(drop=True)
+        rows = sorted({i for square in pairs(part) for pair in square for i in pair})
+        return part.loc[rows, columns]
+
     def test(part: pd.DataFrame) -> pd.DataFrame:
-        # One row a class and task: the texts of a task's classes are made sets once.
-        sets: dict[int, np.ndarray] = {}
+        part = part.reset_index(drop=True)
+        reps, comps, texts_, digests_ = (part[c].to_numpy() for c in ("rep", "component", "text", "digest"))
+        sets: dict[int, np.ndarray | None] = {}
         parent: dict[int, int] = {}
+        links: list[tuple[int, int]] = []
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -155,32 +182,16 @@ def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width
 
         def full(row: int) -> np.ndarray | None:
             rep = int(reps[row])
-            if rep not in sets:
+            if sets.get(rep) is None:
+                # An id that repeats comes with each of its texts.
                 s = shingle_set(texts_[row], width)
                 sets[rep] = s if digest(s) == digests_[row] else None
             return sets[rep]
 
-        part = part.reset_index(drop=True)
-        reps, comps, texts_, digests_ = (part[c].to_numpy() for c in ("rep", "component", "text", "digest"))
-        sigs, sizes = np.stack(part["sig"].to_numpy()), part["n"].to_numpy()
-        fine = np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), 256)
-        keys_ = part["keys"].tolist()
-        links: list[tuple[int, int]] = []
-        for (posting, x, y), at in part.groupby(["posting", "x", "y"], sort=False).indices.items():
-            side = part["part"].to_numpy()[at]
-            left, right = at[side == x], at[side == y]
-            apart = comps[left][:, None] != comps[right][None, :]
-            a, b = sizes[left][:, None], sizes[right][None, :]
-            apart &= of * np.minimum(a, b) >= least * np.maximum(a, b)
-            if x == y:
-                apart = np.triu(apart, 1)
-            ia, ib = np.nonzero(apart)
-            ia, ib = left[ia], right[ib]
-            close = (sigs[ia] == sigs[ib]).sum(1) >= matches
-            ia, ib = ia[close], ib[close]
-            for i, j, estimate in _likely(fine, ia, ib, least / of):
+        for square in pairs(part):
+            for i, j in square:
                 p, q = root(int(comps[i])), root(int(comps[j]))
-                if p == q or _first_key(keys_[i], keys_[j]) != posting:
+                if p == q:
                     continue
                 sa, sb = full(i), full(j)
                 if sa is None or sb is None:
@@ -191,7 +202,26 @@ def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width
                     links.append((int(reps[i]), int(reps[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return cells.join(texts, "rep").groupBy("task").applyInPandas(test, "a long, b long")
+    # Texts are fetched for rows that have an undecided pair only.
+    undecided = staged(asked.groupBy("task").applyInPandas(open_rows, asked.schema), "undecided")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(undecided.select("rep").distinct(), "rep", "left_semi").distinct()
+    return undecided.join(texts, "rep").groupBy("task").applyInPandas(test, "a long, b long")
+
+
+def likely_pairs(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``found`` that the finer sketch does not rule out."""
+    fine = classes.select("rep", "bins")
+    sided = found.join(fine.select(F.col("rep").alias("a"), F.col("bins").alias("fa")), "a").join(fine.select(F.col("rep").alias("b"), F.col("bins").alias("fb")), "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                both = np.frombuffer(b"".join(batch.column("fa").to_pylist() + batch.column("fb").to_pylist()), np.uint8).reshape(2 * n, 256)
+                kept = pa.array([i for i, _, _ in _likely(both, np.arange(n), np.arange(n, 2 * n), threshold)], pa.int64())
+                yield pa.record_batch([batch.column("a").take(kept), batch.column("b").take(kept)], ["a", "b"])
+
+    return sided.select("a", "b", "fa", "fb").mapInArrow(test, "a long, b long")
 
 
 def _likely(fine: np.ndarray, ia: np.ndarray, ib: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
