@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
 from ..functions.ids import as_col
-from ..session import lookup_join
 from . import extract, graph
 
 WS = "workspace_id"
@@ -225,7 +224,7 @@ def validate_changes(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def batch_verdict(changes: DataFrame) -> DataFrame:
     """Every change with its batch's verdict: one invalid item fails the batch."""
     verdict = changes.groupBy(WS, "batch_id").agg(F.bool_and("is_valid").alias("applied"))
-    return lookup_join(changes, verdict, [WS, "batch_id"], "inner")
+    return changes.join(verdict, [WS, "batch_id"])
 
 
 def apply_batch(store: DataFrame, changes: DataFrame) -> DataFrame:

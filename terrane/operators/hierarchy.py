@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import cut_lineage, lookup_join, skew_join
+from ..session import cut_lineage
 from .iterate import ancestor_closure, k_hop
 
 WS = "workspace_id"
@@ -106,7 +106,7 @@ def collapse_folder_chains(hierarchy: DataFrame) -> DataFrame:
     )
     moved = head.select(WS, F.col("id").alias("parent_id"), F.col("head").alias("_head"))
     kept = hierarchy.join(head.select(WS, "id"), [WS, "id"], "left_anti").join(merged, [WS, "id"], "left")
-    return skew_join(kept, moved, [WS, "parent_id"], "left", rows=hierarchy.count()).select(
+    return kept.join(moved, [WS, "parent_id"], "left").select(
         WS, "id", "kind", F.concat_ws("/", "label", "_tail").alias("label"),
         F.when(F.col("_tail").isNotNull(), F.col("_path")).otherwise(F.col("path")).alias("path"),
         F.coalesce("_head", "parent_id").alias("parent_id"), "is_external",
@@ -129,7 +129,7 @@ def dedupe_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def breadcrumbs(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
     """Labels from the root down to each node, joined by ``/``; one entry per level of depth."""
     labels = hierarchy.select(WS, F.col("id").alias("ancestor"), F.col("label").alias("_above"))
-    above = skew_join(closure, labels, [WS, "ancestor"], rows=closure.count()).groupBy(WS, "id").agg(
+    above = closure.join(labels, [WS, "ancestor"]).groupBy(WS, "id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_above"))).alias("_up")
     )
     names = F.concat(F.coalesce(F.transform("_up", lambda s: s["_above"]), F.array().cast("array<string>")), F.array("label"))
@@ -142,19 +142,18 @@ def resolve_visible(wanted: DataFrame, closure: DataFrame, visible: DataFrame) -
     up = closure.join(asked, [WS, "id"], "left_semi").select(WS, "id", "ancestor", "distance")
     self_ = asked.select(WS, "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     seen = visible.select(WS, F.col("id").alias("ancestor"))
-    hits = skew_join(up.unionByName(self_), seen, [WS, "ancestor"], "left_semi", rows=closure.count() + wanted.count())
+    hits = up.unionByName(self_).join(seen, [WS, "ancestor"], "left_semi")
     return asked.join(hits.groupBy(WS, "id").agg(F.min_by("ancestor", "distance").alias("shown")), [WS, "id"], "left")
 
 
 def lift_edges(deps: DataFrame, closure: DataFrame, targets: DataFrame) -> DataFrame:
     """Both ends of each edge replaced by their nearest ancestor in ``targets``; pairs that meet are dropped."""
     deps = cut_lineage(deps)
-    n = deps.count()
     ends = cut_lineage(deps.select(WS, F.explode(F.array("source", "target")).alias("id")).distinct())
     shown = cut_lineage(resolve_visible(ends, closure, targets).filter("shown IS NOT NULL"))
     left = shown.select(WS, F.col("id").alias("source"), F.col("shown").alias("_s"))
     right = shown.select(WS, F.col("id").alias("target"), F.col("shown").alias("_t"))
-    lifted = skew_join(skew_join(deps, left, [WS, "source"], rows=n), right, [WS, "target"], rows=n)
+    lifted = deps.join(left, [WS, "source"]).join(right, [WS, "target"])
     rest = [c for c in deps.columns if c not in (WS, "source", "target")]
     return lifted.filter("_s <> _t").select(WS, F.col("_s").alias("source"), F.col("_t").alias("target"), *rest)
 
@@ -237,7 +236,7 @@ def default_expansion(
     limit = F.lit(1)
     for most, depth in reversed(folder_depths):
         limit = F.when(n <= most, depth).otherwise(limit)
-    sized = lookup_join(_depths(hierarchy, closure), sizes, [WS])
+    sized = _depths(hierarchy, closure).join(sizes, [WS], "left")
     folder = (F.col("kind") == "folder") & (F.col("depth") < limit)
     module = (F.col("kind") == "module") & (n <= modules_up_to) & (F.col("depth") <= limit)
     return sized.filter(folder | module).select(WS, "id")
@@ -247,7 +246,7 @@ def visible_set(hierarchy: DataFrame, closure: DataFrame, expanded: DataFrame, p
     """Nodes that pass and whose ancestors all pass and are expanded."""
     ok = passing.select(WS, "id")
     open_ = ok.join(expanded.select(WS, "id"), [WS, "id"], "left_semi").withColumnRenamed("id", "ancestor")
-    opened = skew_join(closure, open_, [WS, "ancestor"], "left_semi", rows=closure.count()).groupBy(WS, "id").agg(F.count("*").alias("_open"))
+    opened = closure.join(open_, [WS, "ancestor"], "left_semi").groupBy(WS, "id").agg(F.count("*").alias("_open"))
     return (
         _depths(hierarchy, closure).join(ok, [WS, "id"], "left_semi").join(opened, [WS, "id"], "left")
         .filter(F.col("depth") == F.coalesce("_open", F.lit(0))).select(WS, "id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.ids import as_col
-from ..session import HOT_ROWS, lookup_join, running_row_number, sliced
+from ..session import HOT_ROWS, running_row_number, sliced
 
 
 def infer_topic(c: Column | str) -> Column:
@@ -46,7 +46,7 @@ def proficiency(interactions: DataFrame, order: tuple[str, str] = ("ts", "event_
         F.max(F.when(F.col("_n") == rules.INTERMEDIATE_ABOVE + 1, key)).alias("_mid"), F.max(F.when(F.col("_n") == last, key)).alias("_high")
     )
     level = F.when(key > F.col("_high"), "advanced").when(key > F.col("_mid"), "intermediate").otherwise("beginner")
-    return lookup_join(interactions, marks, ["user_id"], "inner").withColumn("proficiency", level).drop("_mid", "_high")
+    return interactions.join(marks, ["user_id"]).withColumn("proficiency", level).drop("_mid", "_high")
 
 
 def topic_attempts(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -84,6 +84,14 @@ def topic_state_before(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> Dat
     parts = sliced(interactions, keys, "ts", hot_rows, max(1, hot_rows // 4))
     decisive = F.when(F.col("outcome").isin("confused", "mastered"), F.col("outcome"))
     understood = F.coalesce(F.col("outcome") == "understood", F.lit(False))
+
+    def state(decided: Column, known: Column) -> Column:
+        known = F.coalesce(known, F.lit(False))
+        return F.when(decided == "confused", "weak").when(decided == "mastered", "strong").when(known, "strong")
+
+    if parts is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return interactions.withColumn("state", state(F.last(decisive, ignorenulls=True).over(whole), F.max(understood).over(whole)))
     per_slice = parts.groupBy(*keys, "_slice").agg(
         F.max_by(decisive, F.when(decisive.isNotNull(), F.struct(*order))).alias("_d"), F.bool_or(understood).alias("_u")
     )
@@ -92,10 +100,8 @@ def topic_state_before(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> Dat
     before = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = parts.withColumns({"_ld": F.last(decisive, ignorenulls=True).over(before), "_lu": F.max(understood).over(before)})
     joined = local.join(carried, [*keys, "_slice"], "left")
-    decided = F.coalesce("_ld", "_cd")
     known = F.coalesce("_lu", F.lit(False)) | F.coalesce("_cu", F.lit(False))
-    state = F.when(decided == "confused", "weak").when(decided == "mastered", "strong").when(known, "strong")
-    return joined.select(*interactions.columns, state.alias("state"))
+    return joined.select(*interactions.columns, state(F.coalesce("_ld", "_cd"), known).alias("state"))
 
 
 def guidance(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ First-match-wins rules are written once as ranked candidates: explode them,
 make one equi-join with a lookup table, keep the best rank with ``min_by``.
 Requests are deduplicated before they are exploded, so a name imported a
 million times costs one lookup; joins whose left side may hold a hot key
-(a package everyone imports) go through ``skew_join``.
+(a package everyone imports) are left to adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, rules
 from ..functions.ids import strings
-from ..session import skew_join
 
 WS = "workspace_id"
 
@@ -92,7 +91,6 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         .withColumn("_name", F.coalesce(F.trim("name"), F.lit("")))
     )
     # a request repeats a key at most twice, so this bounds the rows of any key below
-    bound = 2 * imports.count()
     requests = usable.select(WS, F.col("abs_module").alias("raw"), F.col("_name").alias("name")).distinct()
     guesses = requests.select(WS, "raw", "name", F.posexplode(_candidates()).alias("rank", "g")).select(
         WS, "raw", "name", "rank", F.col("g.kind").alias("kind"), F.col("g.key").alias("key")
@@ -106,11 +104,11 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         )
     )
     resolved = (
-        skew_join(guesses, lookup, [WS, "kind", "key"], rows=bound).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
+        guesses.join(lookup, [WS, "kind", "key"]).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
         .select(WS, F.col("raw").alias("abs_module"), F.col("name").alias("_name"), "hit")
     )
     return (
-        skew_join(usable, resolved, [WS, "abs_module", "_name"], "left", rows=bound)
+        usable.join(resolved, [WS, "abs_module", "_name"], "left")
         .withColumn("target", F.coalesce("hit", "abs_module")).drop("hit", "_name")
     )
 
@@ -153,7 +151,7 @@ def resolve_js_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy(WS, "folder", "spec").agg(F.min_by("path", "rank").alias("hit"))
     )
     return (
-        skew_join(imports.withColumn("folder", ids.parent_path("importer")), hits, [WS, "folder", "spec"], "left", rows=imports.count())
+        imports.withColumn("folder", ids.parent_path("importer")).join(hits, [WS, "folder", "spec"], "left")
         .withColumn("target", F.coalesce(ids.module_id("hit"), F.col("spec"))).drop("folder", "hit")
     )
 
@@ -205,13 +203,12 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, modules: DataFrame, leve
         .agg(F.min_by("symbol_id", F.struct((F.col("kind") == "function").alias("f"), "ord")).alias("_local"))
     )
     owners = modules.select(WS, F.col("module_name").alias("_prefix"), F.lit(True).alias("_owned")).distinct()
-    bound = calls.count()
     seen = (
-        skew_join(wanted, local, [WS, "module_name", "_last"], "left", rows=bound)
+        wanted.join(local, [WS, "module_name", "_last"], "left")
         .withColumn("_prefix", F.when(F.col("_local").isNull(), ids.prefix_of("_raw")))
     )
     placed = seen.filter("_local IS NOT NULL").withColumn("target", F.col("_local"))
-    foreign = skew_join(seen.filter("_local IS NULL"), owners, [WS, "_prefix"], "left_semi", rows=bound).withColumn("target", F.col("_raw"))
+    foreign = seen.filter("_local IS NULL").join(owners, [WS, "_prefix"], "left_semi").withColumn("target", F.col("_raw"))
     return placed.unionByName(foreign).select(*calls.columns, "target")
 
 
@@ -225,7 +222,7 @@ def resolve_bases(bases: DataFrame, classes: DataFrame, scope: DataFrame) -> Dat
     )
     raw = F.trim("raw_base")
     asked = bases.withColumn("_raw", raw).filter(ids.is_semantic_id("_raw")).withColumn("_head", F.substring_index("_raw", ".", 1))
-    known = skew_join(asked, names, [WS, "module_name", "_head"], "left", rows=bases.count())
+    known = asked.join(names, [WS, "module_name", "_head"], "left")
     dotted = F.col("_raw").contains(".")
     rest = F.expr("substring(_raw, length(_head) + 2)")
     through = F.coalesce("_module", "_symbol")

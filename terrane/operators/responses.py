@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.ids import as_col
-from ..session import lookup_join
 from .learning import normal_score
 
 
@@ -121,7 +120,7 @@ def dead_models(attempts: DataFrame) -> DataFrame:
     """
     died = attempts.filter(F.col("status").isin(404, 403)).groupBy("model").agg(F.min(F.struct("ts", "event_id")).alias("_death"))
     dead = F.coalesce(F.struct("ts", "event_id") > F.col("_death"), F.lit(False))
-    seen = lookup_join(attempts, died, ["model"]).withColumn("is_dead", dead)
+    seen = attempts.join(died, ["model"], "left").withColumn("is_dead", dead)
     whole = seen.groupBy("request_id").agg(F.bool_and("is_dead").alias("_all"))
     return seen.join(whole, "request_id").withColumns({
         "retryable": (F.col("status") == 429) | (F.col("status") >= 500), "skipped": F.col("is_dead") & ~F.col("_all"),

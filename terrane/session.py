@@ -1,4 +1,7 @@
-"""Session-level helpers: lineage cuts, checked broadcasts, skew handling."""
+"""Session-level helpers: lineage cuts, checked broadcasts, slices of hot keys.
+
+Skewed joins are left to adaptive execution (``spark.sql.adaptive.skewJoin``).
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key is "hot" beyond this many rows; hot keys are salted or sliced.
+# A key is "hot" beyond this many rows; its running totals are taken slice by slice.
 HOT_ROWS = 2_000_000
-SALTS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -49,58 +51,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    rows: int | None = None,
-) -> DataFrame:
-    """Join a large ``left`` with a ``right`` holding few rows per key.
-
-    Keys with more than ``hot_rows`` rows on the left are spread over
-    ``salts`` sub-keys; only those keys' right rows are repeated.  There are
-    at most ``rows / hot_rows`` such keys, and the list is broadcast only
-    after its size is checked.  With no hot key this is a plain equi-join.
-    ``how`` is inner, left, left_semi or left_anti.  ``rows`` is an upper
-    bound on the left's size where the caller knows one: a table no larger
-    than ``hot_rows`` cannot hold a hot key.
-    """
-    on = list(on)
-    if rows is not None and rows <= hot_rows:
-        return left.join(right, on, how)
-    hot = (
-        left.groupBy(*on).count().filter(F.col("count") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot")).persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    if hot.isEmpty():
-        hot.unpersist()
-        return left.join(right, on, how)
-    hot = bounded_broadcast(hot, 200_000)
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    salted_left = left.join(hot, on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_hot")
-    repeated = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(repeated)).drop("_hot")
-    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = 200_000) -> DataFrame:
-    """Join with a table of one row per key: broadcast while it is small, skew-safe beyond."""
-    if right.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(right), list(on), how)
-    return skew_join(left, right, on, how)
-
-
 def sliced(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     hot_rows: int = HOT_ROWS,
     slice_rows: int = HOT_ROWS // 4,
-) -> DataFrame:
-    """Add ``_slice``: an ascending piece number along ``order`` inside each key.
+) -> DataFrame | None:
+    """Add ``_slice``: an ascending piece number along ``order`` inside each key; None if no key is hot.
 
     Cold keys form one slice.  A hot key is cut at approximate quantiles of
     its order column, so no later window ever sees more than about
@@ -112,7 +70,7 @@ def sliced(
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).persist(StorageLevel.MEMORY_AND_DISK)
     if hot.isEmpty():
         hot.unpersist()
-        return df.withColumn("_slice", F.lit(0))
+        return None
     pieces = [i / 256 for i in range(1, 256)]
     largest = hot.agg(F.max("_n")).first()[0]
     if largest > 256 * slice_rows:
@@ -137,6 +95,8 @@ def running_row_number(
     """1-based position of each row inside its key, exact for hot keys too."""
     keys = list(keys)
     parts = sliced(df, keys, order[0], hot_rows, slice_rows or max(1, hot_rows // 4))
+    if parts is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     sizes = parts.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))

@@ -9,27 +9,13 @@ from terrane.operators import chunks as ck
 from terrane.operators import learning as ln
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
 from terrane.operators.knn import knn
-from terrane.session import lookup_join, running_row_number, skew_join
+from terrane.session import running_row_number
 
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_skew_join_matches_plain_join(spark):
-    left = spark.range(300).select(F.when(F.col("id") < 100, 1).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("v"))
-    right = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        want = left.join(right, "k", how)
-        assert rows(skew_join(left, right, ["k"], how, hot_rows=20, salts=4).select(*want.columns)) == rows(want), how
-
-
-def test_lookup_join_beyond_the_broadcast_bound(spark):
-    left = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
-    right = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("w"))
-    assert rows(lookup_join(left, right, ["k"], max_rows=2)) == rows(left.join(right, "k", "left"))
-
-
 def _events(spark):
     rng = random.Random(7)
     data = []
