@@ -25,7 +25,11 @@ from .vectors import as_doubles, classes, valid
 COSINE = 0.95
 BLOCKS = 2
 #: Filters a close pair is expected to share: it is missed with a likelihood near exp(-EXPECTED).
-EXPECTED = 32.0
+EXPECTED = 36.0
+#: Independent rotations the directions are shared among: one product code alone leaves some vectors few filters.
+ROTATIONS = 8
+#: Pairs drawn to measure that; with fewer dimensions than these there is one filter, and all is compared in squares.
+PROBES, LEAST_DIMS = 300, 8
 #: Unrelated vectors in one filter, which sets how selective filters are.
 FILTER_ROWS = 24
 #: Rows one task compares in one go; larger filters are cut into squares of this side.
@@ -47,6 +51,15 @@ def _both(t: float, rho: float) -> float:
     return float(np.trapezoid(density * above, x))
 
 
+def _pairs(rng, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and others at the cosine to them."""
+    x, y = rng.standard_normal((2, PROBES, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
 class Code:
     """The directions of one run: chosen from the number of vectors and their length."""
 
@@ -60,12 +73,28 @@ class Code:
         self.bound = low
         self.blocks = min(BLOCKS, dims)
         joint = _both(self.bound, min(cosine, 0.9999))
-        self.words = max(2, math.ceil((EXPECTED / joint) ** (1 / self.blocks)))
-        self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+        self.words = max(2, math.ceil((EXPECTED / ROTATIONS / joint) ** (1 / self.blocks)))
+        self.dims, self.rotations = dims, ROTATIONS
+        if dims < LEAST_DIMS:
+            self.bound, self.blocks, self.words, self.rotations = -math.inf, 1, 1, 1
+        self._draw(rng)
+        # At high bounds the directions stray from the normal law; what pairs at the cosine share is measured.
+        probes = _pairs(np.random.default_rng(SEED + 1), dims, cosine)
+        for _ in range(8 if dims >= LEAST_DIMS else 0):
+            shared = np.mean([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*map(self.decode, probes))])
+            if shared >= 0.6 * EXPECTED:
+                break
+            self.words = math.ceil(self.words * min(4.0, EXPECTED / max(shared, 0.1)) ** (1 / self.blocks))
+            self._draw(rng)
+
+    def _draw(self, rng) -> None:
+        dims = self.dims
         cuts = np.linspace(0, dims, self.blocks + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
         # Scaled so that the inner product of a unit vector and a direction varies as a standard normal.
-        self.books = [self._book(rng, p.stop - p.start) for p in self.parts]
+        self.codes = [
+            (np.linalg.qr(rng.standard_normal((dims, dims)))[0], [self._book(rng, p.stop - p.start) for p in self.parts]) for _ in range(self.rotations)
+        ]
 
     def _book(self, rng, size: int) -> np.ndarray:
         """Orthogonal frames of equal length, as many as give the words."""
@@ -73,23 +102,28 @@ class Code:
         return np.concatenate(frames)[: self.words] * math.sqrt(size)
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
-        """The filters of each unit vector."""
-        turned = units @ self.rotation
-        scores = [turned[:, p] @ b.T for p, b in zip(self.parts, self.books)]
+        """The filters of each unit vector, sorted."""
+        lists = [self._decode(units, *code) for code in self.codes]
+        size = self.words**self.blocks
+        return [np.sort(np.concatenate([own + r * size for r, own in enumerate(of)])) for of in zip(*lists)]
+
+    def _decode(self, units: np.ndarray, rotation: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+        turned = units @ rotation
+        scores = [turned[:, p] @ b.T for p, b in zip(self.parts, books)]
+        orders = [np.argsort(-s, axis=1) for s in scores]
+        ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, orders)]
         out = []
         for i in range(len(units)):
             ids, sums = np.zeros(1, np.int64), np.zeros(1)
             # Partial sums that cannot reach the bound with the best words still to come are cut off.
-            best = np.cumsum([s[i].max() for s in scores][::-1])[::-1]
-            for k, s in enumerate(scores):
+            best = np.cumsum([r[i, 0] for r in ranked][::-1])[::-1]
+            for k, (order, r) in enumerate(zip(orders, ranked)):
                 to_come = best[k + 1] if k + 1 < self.blocks else 0.0
-                order = np.argsort(-s[i])
-                ranked = s[i][order]
-                keep = np.searchsorted(-ranked, sums + to_come - self.bound, side="right")
+                keep = np.searchsorted(-r[i], sums + to_come - self.bound, side="right")
                 rows = np.repeat(np.arange(len(sums)), keep)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(keep) - keep, keep)
-                ids, sums = ids[rows] * self.words + order[place], sums[rows] + ranked[place]
-            out.append(np.sort(ids))
+                ids, sums = ids[rows] * self.words + order[i][place], sums[rows] + r[i][place]
+            out.append(ids)
         return out
 
 
@@ -212,8 +246,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     A vector that is null, zero, or holds null or non-finite components links
     with nothing; neither do vectors of different lengths, nor null ids
-    (no component, kept).  Equal vectors are linked and compared once; a row
-    that repeats an id counts as one more vector.  An empty table gives none.
+    (no component, kept).  Equal vectors are linked and compared once.  Rows that
+    repeat an id count as vectors of their own, and show the links of all
+    rows of the id.  An empty table gives none.
     """
     made = staged(classes(rows, 1), "vector_classes")
     base = as_doubles(rows)

@@ -2,7 +2,7 @@
 
 Every source gets a target number of words.  Its documents are permuted by a
 hash; a mix takes all of them some whole number of times, and once more those
-up to a cutoff of the hash.  The hash range is cut into blocks, a unit is one
+up to a cutoff of the hash, and one that fills the rest best.  The hash range is cut into blocks, a unit is one
 block of one repetition, and a splitting tree deals each source's units among
 the output shards: at every node the left half's share of each source is a
 multivariate hypergeometric draw.  Each shard then takes its own units from
@@ -70,7 +70,10 @@ def _below(rows: DataFrame, part: str, room: str) -> DataFrame:
 
 
 def cutoffs(sizes: DataFrame, aims: DataFrame) -> DataFrame:
-    """(skey, base, cutoff): every document is taken ``base`` times, and once more where h <= cutoff.
+    """(skey, base, cutoff, extra): every document is taken ``base`` times, and once more where h <= cutoff or h = extra.
+
+    ``extra`` is the one document beyond the cutoff whose size comes nearest
+    to what the target still lacks.
 
     The range of h is searched in two steps of ``2 ** BLOCK_BITS`` parts, so
     a window sees that many sums, then the few documents of the last part.
@@ -87,13 +90,17 @@ def cutoffs(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     at2 = staged(_below(parts, "b2", "room"), "mix_second")
     last = sizes.withColumn("b2", F.shiftright("h", second)).join(at2, ["skey", "b2"])
     at3 = last.withColumn("_run", F.sum("size").over(Window.partitionBy("skey").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    # The document that overruns goes in if that leaves the sum nearer to the target.
     end = at3.filter(F.col("_run") > F.col("room")).groupBy("skey").agg(F.min(F.struct("_run", "h", "size", "room")).alias("m")).select(
-        "skey", F.when(F.col("m._run") - F.col("m.room") <= F.col("m.size") / 2, F.col("m.h")).otherwise(F.col("m.h") - 1).alias("cutoff")
+        "skey", (F.col("m.h") - 1).alias("cutoff"), (F.col("m.room") - F.col("m._run") + F.col("m.size")).alias("lacks")
     )
-    whole = F.when(F.col("room") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-1))
-    return plan.join(end, "skey", "left").select(
-        "skey", "source_size", "target", "base", F.when(F.col("room") > 0, F.coalesce("cutoff", whole)).otherwise(F.lit(-1)).alias("cutoff")
+    end = staged(end, "mix_end")
+    off = F.abs(F.col("size") - F.col("lacks"))
+    beyond = sizes.join(end, "skey").filter((F.col("h") > F.col("cutoff")) & (off < F.col("lacks")))
+    extra = beyond.groupBy("skey").agg(F.min(F.struct(off.alias("off"), "h")).alias("m")).select("skey", F.col("m.h").alias("extra"))
+    some = F.col("room") > 0
+    return plan.join(end, "skey", "left").join(extra, "skey", "left").select(
+        "skey", "source_size", "target", "base", F.when(some, F.coalesce("cutoff", F.lit((1 << 63) - 1))).otherwise(F.lit(-1)).alias("cutoff"),
+        F.when(some, F.coalesce("extra", F.lit(-1))).otherwise(F.lit(-1)).alias("extra"),
     )
 
 
@@ -101,8 +108,9 @@ def units(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """(skey, b1, copy, place, n): the blocks of each repetition in permuted order, 0 to n - 1 in each source."""
     first = 63 - BLOCK_BITS
     blocks = sizes.groupBy("skey", F.shiftright("h", first).alias("b1")).agg(F.min("h").alias("low"))
-    copies = F.sequence(F.lit(0), F.col("base").cast("int") - F.when(F.col("low") <= F.col("cutoff"), 0).otherwise(1))
-    made = blocks.join(plan.select("skey", "base", "cutoff"), "skey").filter("base > 0 OR low <= cutoff").select("skey", "b1", F.explode(copies).alias("copy"))
+    more = (F.col("low") <= F.col("cutoff")) | (F.col("b1") == F.shiftright("extra", first))
+    copies = F.sequence(F.lit(0), F.col("base").cast("int") - F.when(more, 0).otherwise(1))
+    made = blocks.join(plan.select("skey", "base", "cutoff", "extra"), "skey").filter((F.col("base") > 0) | more).select("skey", "b1", F.explode(copies).alias("copy"))
     by = Window.partitionBy("skey")
     return made.select(
         "*", (F.row_number().over(by.orderBy(F.xxhash64(F.lit(SEED), "skey", "copy", "b1"), "copy", "b1")) - 1).alias("place"), F.count("*").over(by).alias("n")
@@ -184,7 +192,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     by_block = placed.groupBy("skey", "b1").agg(F.expr("transform(array_sort(collect_list(struct(copy, shard))), x -> x.shard)").alias("of_block"))
     first = 63 - BLOCK_BITS
     joined = sizes.withColumn("b1", F.shiftright("h", first)).join(by_block, ["skey", "b1"], "left").join(plan, "skey")
-    times = (F.col("base") + (F.col("h") <= F.col("cutoff")).cast("int")).cast("int")
+    times = (F.col("base") + ((F.col("h") <= F.col("cutoff")) | (F.col("h") == F.col("extra"))).cast("int")).cast("int")
     return joined.select("doc_id", "size", "skey", "h", "source_size", "target", F.coalesce(F.slice("of_block", F.lit(1), times), F.array().cast("array<int>")).alias("shards"))
 
 
