@@ -2,10 +2,10 @@
 
 Two zstandard dictionaries are built from labelled texts: one of the pieces
 ordinary texts repeat, one with the pieces that toxic texts repeat and
-ordinary ones lack.  A text is cut into overlapping windows of one and of
-three words.  A window that the toxic dictionary compresses better than the
+ordinary ones lack: words, and runs of words that may each be ordinary.  A
+text is cut into windows of one and of three words, at every start.  A window that the toxic dictionary compresses better than the
 ordinary one speaks for toxicity; how many windows do, and by how many bytes,
-are turned into a likelihood by thresholds calibrated on labelled texts that
+are turned into a likelihood by boosted trees fitted on labelled texts that
 the dictionaries have not seen.
 """
 
@@ -29,6 +29,8 @@ LEVEL = 3
 ORDINARY_PIECES = 12_000
 #: A piece belongs to the toxic dictionary if this share of toxic texts holds it, and ordinary texts hold it so many times less often.
 TOXIC_SHARE, TOXIC_RATIO = 0.02, 100
+#: Words of the longest piece, and of the longer windows; the shortest match zstandard makes.
+RUN, LEAST_MATCH = 3, 4
 #: Gains are counted up to so many bytes.
 MOST_GAIN = 8
 #: Single words remembered with their gain, a matter of speed only.
@@ -62,9 +64,12 @@ class Dictionaries:
                 return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
             self._pair = of(self.ordinary or b" " * 8), of((self.ordinary + self.toxic) or b" " * 8)
-            self._words = {}
+            self._words, self._own = {}, self._grams(b" " + self.toxic)
         return self._pair
 
+    def _grams(self, raw: bytes) -> set[bytes]:
+        return {raw[i : i + LEAST_MATCH] for i in range(len(raw) - LEAST_MATCH + 1)}
+
     def gain(self, window: bytes) -> int:
         """Bytes the toxic dictionary saves over the ordinary one."""
         ordinary, toxic = self.compressors()
@@ -77,13 +82,20 @@ class Dictionaries:
         known = self._words
         if len(known) > WORDS_KEPT:
             known.clear()
-        single = []
+        single, near = [], []
         for w in words:
             g = known.get(w)
             if g is None:
-                g = known[w] = self.gain(b" " + w.strip(_EDGE) + b" ")
-            single.append(g)
-        triple = [self.gain(b" " + b" ".join(words[i : i + 3]) + b" ") for i in range(0, len(words), 2)]
+                window = b" " + w.strip(_EDGE) + b" "
+                # What shares no match with the toxic pieces gains nothing by them.
+                close = not self._own.isdisjoint(self._grams(window))
+                g = known[w] = (self.gain(window) if close else 0, close)
+            single.append(g[0])
+            near.append(g[1])
+        bare = [w.strip(_EDGE) for w in words] if any(near) else []
+        triple = [
+            self.gain(b" " + b" ".join(bare[i : i + RUN]) + b" ") if any(near[i : i + RUN]) else 0 for i in range(max(1, len(words) - RUN + 1) if words else 0)
+        ]
         out = [np.log1p(len(words))]
         for gains in (single, triple):
             counts = np.bincount(np.clip(gains, 0, MOST_GAIN), minlength=MOST_GAIN + 1) if gains else np.zeros(MOST_GAIN + 1)
@@ -92,13 +104,38 @@ class Dictionaries:
         return np.array(out, float)
 
 
+def _runs(text: str, width: int) -> set[bytes]:
+    words = [p.strip(_EDGE) for p in pieces(text)]
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def _parts(run: bytes) -> list[bytes]:
+    """The shorter runs within a run."""
+    words = run.split(b" ")
+    return [b" ".join(words[i : i + n]) for n in range(1, len(words)) for i in range(len(words) - n + 1)]
+
+
 def build(texts: list[str], toxic: np.ndarray) -> Dictionaries:
-    """Dictionaries from labelled texts; a piece counts once for each text that holds it."""
-    held = {flag: Counter(w for t, y in zip(texts, toxic) if y == flag for w in {p.strip(_EDGE) for p in pieces(t)}) for flag in (False, True)}
+    """Dictionaries from labelled texts; a piece, of one word or a run of up to ``RUN``, counts once for each text that holds it."""
+    held = {flag: Counter() for flag in (False, True)}
+    for t, y in zip(texts, toxic):
+        held[bool(y)].update(_runs(t, 1))
     n = {flag: max(int((toxic == flag).sum()), 1) for flag in held}
     ordinary = sorted(held[False].items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_PIECES]
     least = max(3.0, TOXIC_SHARE * n[True])
-    own = sorted((c, w) for w, c in held[True].items() if c >= least and held[False][w] / n[False] * TOXIC_RATIO < c / n[True])
+    own: list[tuple[int, bytes]] = []
+    for width in range(1, RUN + 1):
+        if width > 1:
+            # Runs of one length at a time; only those that enough toxic texts hold are counted in ordinary ones.
+            held = {True: Counter(w for t, y in zip(texts, toxic) if y for w in _runs(t, width))}
+            often = {w for w, c in held[True].items() if c >= least}
+            held[False] = Counter(w for t, y in zip(texts, toxic) if not y for w in _runs(t, width) & often)
+        shorter = {w for _, w in own}
+        own += [
+            (c, w) for w, c in held[True].items()
+            if c >= least and held[False][w] / n[False] * TOXIC_RATIO < c / n[True] and not any(p in shorter for p in _parts(w))
+        ]
+    own.sort()
     # The commonest pieces come last, where they are cheapest to point to.
     return Dictionaries(b" ".join([w for w, _ in ordinary][::-1]) + b" ", b" ".join(w for _, w in own) + b" ")
 
