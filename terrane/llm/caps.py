@@ -30,8 +30,12 @@ EXPECTED = 36.0
 ROTATIONS = 8
 #: Pairs drawn to measure that; with fewer dimensions than these there is one filter, and all is compared in squares.
 PROBES, LEAST_DIMS = 300, 8
+#: Pairs none of which may share no filter; words of a block at most, and the bound below which one filter serves as well.
+CHECKED, MOST_WORDS, LEAST_BOUND = 2000, 2048, 0.5
 #: Unrelated vectors in one filter, which sets how selective filters are.
 FILTER_ROWS = 24
+#: Share of the largest score, sqrt(dims), that a bound starts from at most; short vectors reach no more with few words.
+REACH = 0.86
 #: Rows one task compares in one go; larger filters are cut into squares of this side.
 SIDE = 1024
 #: Postings dealt to one group of filters.
@@ -51,9 +55,9 @@ def _both(t: float, rho: float) -> float:
     return float(np.trapezoid(density * above, x))
 
 
-def _pairs(rng, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(rng, dims: int, cosine: float, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Random unit vectors, and others at the cosine to them."""
-    x, y = rng.standard_normal((2, PROBES, dims))
+    x, y = rng.standard_normal((2, n, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
@@ -70,22 +74,44 @@ class Code:
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (mid, high) if _tail(mid) > share else (low, mid)
-        self.bound = low
+        self.bound = min(low, REACH * math.sqrt(dims))
         self.blocks = min(BLOCKS, dims)
-        joint = _both(self.bound, min(cosine, 0.9999))
-        self.words = max(2, math.ceil((EXPECTED / ROTATIONS / joint) ** (1 / self.blocks)))
         self.dims, self.rotations = dims, ROTATIONS
         if dims < LEAST_DIMS:
-            self.bound, self.blocks, self.words, self.rotations = -math.inf, 1, 1, 1
-        self._draw(rng)
-        # At high bounds the directions stray from the normal law; what pairs at the cosine share is measured.
-        probes = _pairs(np.random.default_rng(SEED + 1), dims, cosine)
-        for _ in range(8 if dims >= LEAST_DIMS else 0):
-            shared = np.mean([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*map(self.decode, probes))])
-            if shared >= 0.6 * EXPECTED:
-                break
-            self.words = math.ceil(self.words * min(4.0, EXPECTED / max(shared, 0.1)) ** (1 / self.blocks))
+            self._one_filter(rng)
+            return
+        self.words = self._start(cosine)
+        # At high bounds the directions stray from the normal law, and beyond sqrt(dims) none is reached: what pairs at the
+        # cosine share is measured.  A bound that takes too many words is lowered; its larger filters are cut into squares.
+        few, many = (_pairs(np.random.default_rng(SEED + k), dims, cosine, n) for k, n in ((1, PROBES), (2, CHECKED)))
+        tries = 0
+        while self.bound >= LEAST_BOUND:
             self._draw(rng)
+            shared = self._shared(few)
+            mean = float(shared.mean())
+            if mean >= 0.6 * EXPECTED and shared.min() > 0 and self._shared(many).min() > 0:
+                return
+            words = math.ceil(self.words * max(1.2, min(4.0, EXPECTED / max(mean, 0.1)) ** (1 / self.blocks)))
+            tries += 1
+            if words > MOST_WORDS or tries == 8:
+                self.bound, tries = self.bound * 0.9, 0
+                self.words = self._start(cosine)
+            else:
+                self.words = words
+        self._one_filter(rng)
+
+    def _start(self, cosine: float) -> int:
+        joint = max(_both(self.bound, min(cosine, 0.9999)), 1e-30)
+        return min(MOST_WORDS, max(2, math.ceil((EXPECTED / ROTATIONS / joint) ** (1 / self.blocks))))
+
+    def _one_filter(self, rng) -> None:
+        """All vectors meet in one filter, and are compared in squares."""
+        self.bound, self.blocks, self.words, self.rotations = -math.inf, 1, 1, 1
+        self._draw(rng)
+
+    def _shared(self, probes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """How many filters each pair shares."""
+        return np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*map(self.decode, probes))])
 
     def _draw(self, rng) -> None:
         dims = self.dims

@@ -97,3 +97,14 @@ def test_nearest_edge_cases(table):
     few = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (8, [0.0, 1.0])]
     got = [(r.query_id, r["rank"], r.vec_id) for r in hnsw.nearest(table(few)).orderBy("rank").collect()]
     assert got == [(0, 1, 3), (0, 2, 7), (0, 3, 8)]
+
+
+@pytest.mark.parametrize("dims, rows", [(8, 1_000_000), (12, 1_000_000), (16, 1_000_000)])
+def test_short_vectors_share_filters_in_large_tables(dims, rows):
+    code = caps.Code(rows, dims, 0.95)
+    rng = np.random.default_rng(11)
+    x, y = rng.standard_normal((2, 500, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(code.decode(x), code.decode(y)))
