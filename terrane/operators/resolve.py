@@ -77,36 +77,50 @@ def _candidates() -> Column:
     return F.concat(F.array(guess("m", raw)), named, prefixes, tails, suffixes)
 
 
-def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """Imports with the graph id they point at, unusable ones dropped.
-
-    Order: exact module; module plus name; longest module prefix; longest
-    tail of two or more parts; suffix owner of the module; suffix owner of
-    module plus name; otherwise the text itself, as an external package.
-    """
-    usable = (
+def usable_imports(imports: DataFrame) -> DataFrame:
+    """Imports that can name a module, with ``abs_module`` and ``_name``."""
+    return (
         absolutize_imports(imports)
         .withColumn("abs_module", F.trim("abs_module"))
         .filter(ids.is_semantic_id("abs_module") & ~ids.is_noise_namespace("abs_module"))
         .withColumn("_name", F.coalesce(F.trim("name"), F.lit("")))
     )
-    # a request repeats a key at most twice, so this bounds the rows of any key below
-    requests = usable.select(WS, F.col("abs_module").alias("raw"), F.col("_name").alias("name")).distinct()
-    guesses = requests.select(WS, "raw", "name", F.posexplode(_candidates()).alias("rank", "g")).select(
-        WS, "raw", "name", "rank", F.col("g.kind").alias("kind"), F.col("g.key").alias("key")
+
+
+def import_guesses(requests: DataFrame) -> DataFrame:
+    """Every column of ``requests`` (abs_module, _name, …) with each ranked (kind, key) it may be found by."""
+    named = requests.select("*", F.col("abs_module").alias("raw"), F.col("_name").alias("name"))
+    return named.select(*requests.columns, F.posexplode(_candidates()).alias("rank", "g")).select(
+        *requests.columns, "rank", F.col("g.kind").alias("kind"), F.col("g.key").alias("key")
     )
-    lookup = (
-        modules.filter(ids.is_semantic_id("module_name"))
-        .select(WS, F.lit("m").alias("kind"), F.col("module_name").alias("key"), F.col("module_name").alias("hit")).distinct()
+
+
+def module_lookup(modules: DataFrame) -> DataFrame:
+    """(workspace_id, kind, key, hit): module names, and the suffixes one module owns."""
+    named = modules.filter(ids.is_semantic_id("module_name"))
+    return (
+        named.select(WS, F.lit("m").alias("kind"), F.col("module_name").alias("key"), F.col("module_name").alias("hit")).distinct()
         .unionByName(
-            module_suffix_index(modules.filter(ids.is_semantic_id("module_name")))
+            module_suffix_index(named)
             .filter("target IS NOT NULL").select(WS, F.lit("s").alias("kind"), F.col("suffix").alias("key"), F.col("target").alias("hit"))
         )
     )
-    resolved = (
-        guesses.join(lookup, [WS, "kind", "key"]).groupBy(WS, "raw", "name").agg(F.min_by("hit", "rank").alias("hit"))
-        .select(WS, F.col("raw").alias("abs_module"), F.col("name").alias("_name"), "hit")
-    )
+
+
+def resolve_imports(imports: DataFrame, modules: DataFrame | None = None, lookup: DataFrame | None = None) -> DataFrame:
+    """Imports with the graph id they point at, unusable ones dropped.
+
+    Order: exact module; module plus name; longest module prefix; longest
+    tail of two or more parts; suffix owner of the module; suffix owner of
+    module plus name; otherwise the text itself, as an external package.
+    ``lookup`` is ``module_lookup(modules)``, or the part of it that holds
+    every key the imports may be found by.
+    """
+    usable = usable_imports(imports)
+    # a request repeats a key at most twice, so this bounds the rows of any key below
+    guesses = import_guesses(usable.select(WS, "abs_module", "_name").distinct())
+    lookup = module_lookup(modules) if lookup is None else lookup
+    resolved = guesses.join(lookup, [WS, "kind", "key"]).groupBy(WS, "abs_module", "_name").agg(F.min_by("hit", "rank").alias("hit"))
     return (
         usable.join(resolved, [WS, "abs_module", "_name"], "left")
         .withColumn("target", F.coalesce("hit", "abs_module")).drop("hit", "_name")
@@ -125,12 +139,8 @@ def _normal_path(path: Column) -> Column:
     return F.ltrim(F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"), F.lit("./"))
 
 
-def resolve_js_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Relative JS/TS specifiers to module ids; packages and misses unchanged.
-
-    ``imports`` needs (workspace_id, importer, spec).  Order: exact file,
-    added suffix, folder index, then the same with a JS suffix swapped out.
-    """
+def js_guesses(imports: DataFrame) -> DataFrame:
+    """(workspace_id, folder, spec, rank, path): the files each relative specifier may mean, best first."""
     asked = imports.select(WS, ids.parent_path("importer").alias("folder"), "spec").distinct()
     relative = asked.filter(F.col("spec").startswith("."))
     joined = F.when(F.col("folder") == "", F.col("spec")).otherwise(F.concat("folder", F.lit("/"), "spec"))
@@ -145,9 +155,17 @@ def resolve_js_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
     own = ids.suffix("base")
     bare = F.left(F.col("base"), F.length("base") - F.length(own))
     swap = F.when(own.isin(rules.JS_SUFFIXES), grown(bare)).otherwise(strings([]))
-    guesses = based.select(WS, "folder", "spec", F.posexplode(F.concat(F.array("base"), grown(F.col("base")), swap)).alias("rank", "path"))
+    return based.select(WS, "folder", "spec", F.posexplode(F.concat(F.array("base"), grown(F.col("base")), swap)).alias("rank", "path"))
+
+
+def resolve_js_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Relative JS/TS specifiers to module ids; packages and misses unchanged.
+
+    ``imports`` needs (workspace_id, importer, spec).  Order: exact file,
+    added suffix, folder index, then the same with a JS suffix swapped out.
+    """
     hits = (
-        guesses.join(files.select(WS, "path").distinct(), [WS, "path"])
+        js_guesses(imports).join(files.select(WS, "path").distinct(), [WS, "path"])
         .groupBy(WS, "folder", "spec").agg(F.min_by("path", "rank").alias("hit"))
     )
     return (

@@ -6,6 +6,7 @@ Skewed joins are left to adaptive execution (``spark.sql.adaptive.skewJoin``).
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -42,6 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: computed once, pruned by column, and of known size to later joins."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after counting that ``df`` stays within ``max_rows``.
 
