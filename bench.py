@@ -13,6 +13,7 @@ import statistics
 import time
 
 from terrane.plans.catalog import QUERIES
+from terrane.plans.catalog_hierarchy import tree_labels
 from terrane.plans.catalog_retrieval import sections
 from terrane.plans.code import source_files
 from terrane.plans.derived import view
@@ -36,6 +37,7 @@ def main() -> None:
         view(spark, sf_dir, name)
     source_files(spark, sf_dir)
     sections(spark, sf_dir)
+    tree_labels(spark, sf_dir)
     setup = time.time() - start
     timings = {}
     for name in names:

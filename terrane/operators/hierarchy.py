@@ -1,7 +1,8 @@
 """Folder trees, visibility and edge roll-up to the visible ancestor.
 
 A hierarchy is ``(workspace_id, id, kind, label, path, parent_id,
-is_external)``; most questions become joins with its ancestor closure.
+is_external)``.  Questions about ancestors are asked of its interval labels
+(``intervals.interval_labels``), never of a closure.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import cut_lineage
+from ..session import written
+from .intervals import below, holding, nearest, open_over
 from .iterate import ancestor_closure, k_hop
 
 WS = "workspace_id"
@@ -23,6 +25,8 @@ FUNCTION_KINDS = ["function", "method"]
 CONTAINMENT_KINDS = ["contains", "containment", "owns"]
 DEPENDENCY_KINDS = {"import": "import", "imports": "import", "call": "call", "calls": "call", "inherits": "inherits", "inheritance": "inherits"}
 OPEN_MODULES_UP_TO = 18
+#: Depth is below two to this power.
+MAX_DOUBLINGS = 32
 OPEN_FOLDER_DEPTHS = [(150, 3), (500, 2)]
 
 
@@ -126,31 +130,41 @@ def dedupe_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def breadcrumbs(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
-    """Labels from the root down to each node, joined by ``/``; one entry per level of depth."""
-    labels = hierarchy.select(WS, F.col("id").alias("ancestor"), F.col("label").alias("_above"))
-    above = closure.join(labels, [WS, "ancestor"]).groupBy(WS, "id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "_above"))).alias("_up")
-    )
-    names = F.concat(F.coalesce(F.transform("_up", lambda s: s["_above"]), F.array().cast("array<string>")), F.array("label"))
-    return hierarchy.join(above, [WS, "id"], "left").select(WS, "id", F.array_join(names, "/").alias("breadcrumb"))
+def breadcrumbs(hierarchy: DataFrame) -> DataFrame:
+    """Labels from the root down to each node, joined by ``/``; one entry per level of depth.
+
+    Every round puts the text of the node a row points at before its own and
+    doubles the reach, so a tree of depth d takes log2(d) rounds of one row a node.
+    """
+    parent = F.when(F.col("parent_id") != F.col("id"), F.col("parent_id"))
+    rows = written(hierarchy.select(WS, "id", F.col("label").alias("breadcrumb"), parent.alias("up")), "crumbs")
+    for _ in range(MAX_DOUBLINGS):
+        if rows.filter("up IS NOT NULL").isEmpty():
+            return rows.select(WS, "id", "breadcrumb")
+        above = rows.select(WS, F.col("id").alias("up"), F.col("breadcrumb").alias("_text"), F.col("up").alias("_up"))
+        rows = written(rows.join(above, [WS, "up"], "left").select(WS, "id", F.concat_ws("/", "_text", "breadcrumb").alias("breadcrumb"), F.col("_up").alias("up")), "crumbs")
+    raise ValueError("parent links form a cycle")
+
+
+def _placed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(workspace_id, id, enter, exit, depth) of the nodes that have labels."""
+    return labels.select(WS, "id", "enter", "exit", "depth").join(nodes.select(WS, "id").distinct(), [WS, "id"], "left_semi")
 
 
-def resolve_visible(wanted: DataFrame, closure: DataFrame, visible: DataFrame) -> DataFrame:
+def resolve_visible(wanted: DataFrame, labels: DataFrame, visible: DataFrame) -> DataFrame:
     """(id, shown): the id itself if visible, else its nearest visible ancestor, else NULL."""
     asked = wanted.select(WS, "id").distinct()
-    up = closure.join(asked, [WS, "id"], "left_semi").select(WS, "id", "ancestor", "distance")
-    self_ = asked.select(WS, "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    seen = visible.select(WS, F.col("id").alias("ancestor"))
-    hits = up.unionByName(self_).join(seen, [WS, "ancestor"], "left_semi")
-    return asked.join(hits.groupBy(WS, "id").agg(F.min_by("ancestor", "distance").alias("shown")), [WS, "id"], "left")
+    near = nearest(_placed(asked, labels), _placed(visible, labels))
+    # an id outside the tree can only show itself
+    seen = visible.select(WS, "id", F.col("id").alias("_self")).distinct()
+    return asked.join(near, [WS, "id"], "left").join(seen, [WS, "id"], "left").select(WS, "id", F.coalesce("_self", "shown").alias("shown"))
 
 
-def lift_edges(deps: DataFrame, closure: DataFrame, targets: DataFrame) -> DataFrame:
+def lift_edges(deps: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
     """Both ends of each edge replaced by their nearest ancestor in ``targets``; pairs that meet are dropped."""
-    deps = cut_lineage(deps)
-    ends = cut_lineage(deps.select(WS, F.explode(F.array("source", "target")).alias("id")).distinct())
-    shown = cut_lineage(resolve_visible(ends, closure, targets).filter("shown IS NOT NULL"))
+    deps = written(deps, "deps")
+    ends = deps.select(WS, F.explode(F.array("source", "target")).alias("id")).distinct()
+    shown = written(resolve_visible(ends, labels, targets).filter("shown IS NOT NULL"), "shown")
     left = shown.select(WS, F.col("id").alias("source"), F.col("shown").alias("_s"))
     right = shown.select(WS, F.col("id").alias("target"), F.col("shown").alias("_t"))
     lifted = deps.join(left, [WS, "source"]).join(right, [WS, "target"])
@@ -158,18 +172,18 @@ def lift_edges(deps: DataFrame, closure: DataFrame, targets: DataFrame) -> DataF
     return lifted.filter("_s <> _t").select(WS, F.col("_s").alias("source"), F.col("_t").alias("target"), *rest)
 
 
-def rollup_edges(deps: DataFrame, closure: DataFrame, visible: DataFrame) -> DataFrame:
+def rollup_edges(deps: DataFrame, labels: DataFrame, visible: DataFrame) -> DataFrame:
     """Edges between visible ancestors with their count and stroke width.
 
-    Counts are taken before the ancestor check, so that check meets one row
-    per pair and kind.
+    Counts are taken before ends are compared, so one row per pair and kind
+    meets the labels of its ends; a pair in line is dropped.
     """
     counted = deps.groupBy(WS, "source", "target", "kind").agg(F.count("*").alias("n"))
-    per = lift_edges(counted, closure, visible).groupBy(WS, "source", "target", "kind").agg(F.sum("n").alias("count"))
-    down = closure.select(WS, F.col("id").alias("source"), F.col("ancestor").alias("target"))
-    up = closure.select(WS, F.col("ancestor").alias("source"), F.col("id").alias("target"))
-    free = per.join(down.unionByName(up), [WS, "source", "target"], "left_anti")
-    return free.withColumn("width", F.least(F.lit(6.0), F.lit(1.4) + F.log2(F.col("count") + 1)))
+    per = lift_edges(counted, labels, visible).groupBy(WS, "source", "target", "kind").agg(F.sum("n").alias("count"))
+    ends = {end: labels.select(WS, F.col("id").alias(end), F.col("enter").alias(f"{end}_enter"), F.col("exit").alias(f"{end}_exit")) for end in ("source", "target")}
+    both = per.join(ends["source"], [WS, "source"], "left").join(ends["target"], [WS, "target"], "left")
+    apart = ~F.coalesce(below("source", "target") | below("target", "source"), F.lit(False))
+    return both.filter(apart).select(WS, "source", "target", "kind", "count", F.least(F.lit(6.0), F.lit(1.4) + F.log2(F.col("count") + 1)).alias("width"))
 
 
 def rollup_degrees(rolled: DataFrame) -> DataFrame:
@@ -195,20 +209,20 @@ def filter_nodes(
     return nodes.filter(passed if show_external else passed & ~F.col("is_external"))
 
 
-def folders_with_keepers(hierarchy: DataFrame, closure: DataFrame, kept: DataFrame) -> DataFrame:
+def folders_with_keepers(hierarchy: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
     """Folders with at least one surviving node that is not a folder below them."""
-    keepers = kept.filter("kind <> 'folder'").select(WS, "id").distinct()
-    holders = closure.join(keepers, [WS, "id"], "left_semi").select(WS, F.col("ancestor").alias("id")).distinct()
-    return hierarchy.filter("kind = 'folder'").join(holders, [WS, "id"], "left_semi")
+    folders = hierarchy.filter("kind = 'folder'")
+    holders = holding(_placed(folders, labels), _placed(kept.filter("kind <> 'folder'"), labels))
+    return folders.join(holders, [WS, "id"], "left_semi")
 
 
-def search_labels(kept: DataFrame, closure: DataFrame, text: str) -> DataFrame:
+def search_labels(kept: DataFrame, labels: DataFrame, text: str) -> DataFrame:
     """(id, role): role ``match`` for labels holding the text, ``open`` for every ancestor of a match."""
     needle = text.strip().lower()
     if not needle:
         return kept.filter(F.lit(False)).select(WS, "id", F.lit("match").alias("role"))
     matches = kept.filter(F.lower("label").contains(needle)).select(WS, "id").distinct()
-    opened = closure.join(matches, [WS, "id"], "left_semi").select(WS, F.col("ancestor").alias("id")).distinct()
+    opened = holding(labels, _placed(matches, labels)).select(WS, "id")
     return matches.withColumn("role", F.lit("match")).unionByName(opened.withColumn("role", F.lit("open")))
 
 
@@ -217,13 +231,8 @@ def focus_neighborhood(rolled: DataFrame, visible: DataFrame, focus: DataFrame,
     return k_hop(visible, rolled, focus, depth)
 
 
-def _depths(hierarchy: DataFrame, closure: DataFrame) -> DataFrame:
-    up = closure.groupBy(WS, "id").agg(F.count("*").alias("_n"))
-    return hierarchy.join(up, [WS, "id"], "left").withColumn("depth", F.coalesce("_n", F.lit(0))).drop("_n")
-
-
 def default_expansion(
-    hierarchy: DataFrame, closure: DataFrame, folder_depths: Sequence[tuple[int, int]] = OPEN_FOLDER_DEPTHS, modules_up_to: int = OPEN_MODULES_UP_TO
+    hierarchy: DataFrame, labels: DataFrame, folder_depths: Sequence[tuple[int, int]] = OPEN_FOLDER_DEPTHS, modules_up_to: int = OPEN_MODULES_UP_TO
 ) -> DataFrame:
     """Containers open at first sight: folders to a depth set by project size, and modules of small projects.
 
@@ -236,27 +245,25 @@ def default_expansion(
     limit = F.lit(1)
     for most, depth in reversed(folder_depths):
         limit = F.when(n <= most, depth).otherwise(limit)
-    sized = _depths(hierarchy, closure).join(sizes, [WS], "left")
+    sized = hierarchy.join(labels.select(WS, "id", "depth"), [WS, "id"]).join(sizes, [WS], "left")
     folder = (F.col("kind") == "folder") & (F.col("depth") < limit)
     module = (F.col("kind") == "module") & (n <= modules_up_to) & (F.col("depth") <= limit)
     return sized.filter(folder | module).select(WS, "id")
 
 
-def visible_set(hierarchy: DataFrame, closure: DataFrame, expanded: DataFrame, passing: DataFrame) -> DataFrame:
-    """Nodes that pass and whose ancestors all pass and are expanded."""
-    ok = passing.select(WS, "id")
-    open_ = ok.join(expanded.select(WS, "id"), [WS, "id"], "left_semi").withColumnRenamed("id", "ancestor")
-    opened = closure.join(open_, [WS, "ancestor"], "left_semi").groupBy(WS, "id").agg(F.count("*").alias("_open"))
-    return (
-        _depths(hierarchy, closure).join(ok, [WS, "id"], "left_semi").join(opened, [WS, "id"], "left")
-        .filter(F.col("depth") == F.coalesce("_open", F.lit(0))).select(WS, "id")
-    )
+def visible_set(hierarchy: DataFrame, labels: DataFrame, expanded: DataFrame, passing: DataFrame) -> DataFrame:
+    """Nodes that pass and whose ancestors all pass and are expanded: none of those that do not lies around them."""
+    ok = passing.select(WS, "id").distinct()
+    open_ = ok.join(expanded.select(WS, "id"), [WS, "id"], "left_semi")
+    shut = labels.join(open_, [WS, "id"], "left_anti")
+    free = open_over(_placed(ok, labels), shut, strictly=True).filter("open = 0").select(WS, "id")
+    return hierarchy.select(WS, "id").join(free, [WS, "id"], "left_semi")
 
 
-def sibling_edges(deps: DataFrame, closure: DataFrame, siblings: DataFrame) -> DataFrame:
+def sibling_edges(deps: DataFrame, labels: DataFrame, siblings: DataFrame) -> DataFrame:
     """Distinct pairs of a container's children joined by something beneath them."""
     pairs = deps.select(WS, "source", "target").distinct()
-    return lift_edges(pairs, closure, siblings).distinct()
+    return lift_edges(pairs, labels, siblings).distinct()
 
 
 def child_counts(hierarchy: DataFrame, show_external: bool = True) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, hierarchy as tree_ops
+from ..operators.intervals import interval_labels
 from ..operators.iterate import ancestor_closure
-from .derived import oracle, query, view
+from .derived import oracle, query, stored, view
 from .registry import register
 
 WS = "workspace_id"
@@ -33,14 +34,17 @@ def tree(spark, sf):
     return query(spark, sf, TREE)
 
 
-def closed(spark, sf):
-    t = tree(spark, sf)
-    return t, ancestor_closure(t)
+def tree_labels(spark, sf):
+    """Interval labels of the tree: an index of the snapshot, written once like the tree itself."""
+    return stored(spark, sf, "tree_labels", lambda: interval_labels(tree(spark, sf)))
+
+
+def labelled(spark, sf):
+    return tree(spark, sf), tree_labels(spark, sf)
 
 
 def rolled_up(spark, sf):
-    _, closure = closed(spark, sf)
-    return tree_ops.rollup_edges(query(spark, sf, DEPS), closure, query(spark, sf, SHOWN))
+    return tree_ops.rollup_edges(query(spark, sf, DEPS), labelled(spark, sf)[1], query(spark, sf, SHOWN))
 
 
 DECLARED = "SELECT workspace_id, id, type, CASE WHEN type = 'class' THEN module WHEN type = 'module' THEN id END AS parent_id FROM fx_nodes"
@@ -106,20 +110,27 @@ def _(spark, sf):
 
 @register("ancestor_closure", tree_oracle("SELECT 'w' AS workspace_id, id, ancestor, distance FROM anc"))
 def _(spark, sf):
-    return closed(spark, sf)[1]
+    return ancestor_closure(tree(spark, sf))
+
+
+@register("interval_labels", tree_oracle("""
+SELECT 'w' AS workspace_id, t.id, t.parent_id, (SELECT count(*) FROM anc a WHERE a.id = t.id) AS depth, (SELECT count(*) FROM anc a WHERE a.ancestor = t.id) AS below FROM fx_tree t"""))
+def _(spark, sf):
+    """What the labels say of each node: its depth, and half of its interval's places are its descendants'."""
+    return interval_labels(tree(spark, sf)).select(WS, "id", "parent_id", "depth", F.expr("CAST((exit - enter - 1) DIV 2 AS BIGINT)").alias("below"))
 
 
 @register("breadcrumbs", tree_oracle("""
 SELECT 'w' AS workspace_id, t.id, coalesce(u.up || '/', '') || t.label AS breadcrumb FROM fx_tree t
 LEFT JOIN (SELECT a.id, string_agg(p.label, '/' ORDER BY distance DESC) AS up FROM anc a JOIN fx_tree p ON p.id = a.ancestor GROUP BY a.id) u ON u.id = t.id"""))
 def _(spark, sf):
-    return tree_ops.breadcrumbs(*closed(spark, sf))
+    return tree_ops.breadcrumbs(tree(spark, sf))
 
 
 @register("resolve_visible", tree_oracle("SELECT 'w' AS workspace_id, t.id, n.shown FROM fx_tree t LEFT JOIN near n ON n.id = t.id"))
 def _(spark, sf):
-    t, closure = closed(spark, sf)
-    return tree_ops.resolve_visible(t, closure, query(spark, sf, SHOWN))
+    t, labels = labelled(spark, sf)
+    return tree_ops.resolve_visible(t, labels, query(spark, sf, SHOWN))
 
 
 @register("rollup_edges", tree_oracle("SELECT *, round(least(6.0, 1.4 + log2(count + 1)), 6) AS width FROM rolled"))
@@ -149,16 +160,16 @@ INTERNAL = "SELECT * FROM fx_tree WHERE NOT is_external"
 @register("folders_with_keepers", tree_oracle("""
 SELECT 'w' AS workspace_id, f.id FROM fx_tree f WHERE kind = 'folder' AND id IN (SELECT ancestor FROM anc a JOIN fx_tree t ON t.id = a.id WHERE t.kind <> 'folder' AND NOT t.is_external)"""))
 def _(spark, sf):
-    t, closure = closed(spark, sf)
-    return tree_ops.folders_with_keepers(t, closure, tree_ops.filter_nodes(t, show_external=False)).select(WS, "id")
+    t, labels = labelled(spark, sf)
+    return tree_ops.folders_with_keepers(t, labels, tree_ops.filter_nodes(t, show_external=False)).select(WS, "id")
 
 
 @register("search_labels", tree_oracle("""
 SELECT 'w' AS workspace_id, id, 'match' AS role FROM fx_tree WHERE NOT is_external AND contains(label, '7')
 UNION ALL SELECT DISTINCT 'w', ancestor, 'open' FROM anc WHERE id IN (SELECT id FROM fx_tree WHERE NOT is_external AND contains(label, '7'))"""))
 def _(spark, sf):
-    t, closure = closed(spark, sf)
-    return tree_ops.search_labels(tree_ops.filter_nodes(t, show_external=False), closure, " 7 ")
+    t, labels = labelled(spark, sf)
+    return tree_ops.search_labels(tree_ops.filter_nodes(t, show_external=False), labels, " 7 ")
 
 
 FOCUS = "SELECT 'w' AS workspace_id, id FROM fx_tree WHERE id IN ('s1', 'n3')"
@@ -181,15 +192,15 @@ opened AS (SELECT id FROM dep, lim WHERE (kind = 'folder' AND depth < l) OR (kin
 
 @register("default_expansion", oracle("SELECT 'w' AS workspace_id, id FROM opened", rec=ANC + OPEN, shown=SHOWN, deps=DEPS))
 def _(spark, sf):
-    return tree_ops.default_expansion(*closed(spark, sf))
+    return tree_ops.default_expansion(*labelled(spark, sf))
 
 
 @register("visible_set", oracle("""
 SELECT 'w' AS workspace_id, t.id FROM fx_tree t WHERE NOT t.is_external
 AND NOT EXISTS (SELECT 1 FROM anc a JOIN fx_tree p ON p.id = a.ancestor WHERE a.id = t.id AND (p.is_external OR p.id NOT IN (SELECT id FROM opened)))""", rec=ANC + OPEN, shown=SHOWN, deps=DEPS))
 def _(spark, sf):
-    t, closure = closed(spark, sf)
-    return tree_ops.visible_set(t, closure, tree_ops.default_expansion(t, closure), tree_ops.filter_nodes(t, show_external=False))
+    t, labels = labelled(spark, sf)
+    return tree_ops.visible_set(t, labels, tree_ops.default_expansion(t, labels), tree_ops.filter_nodes(t, show_external=False))
 
 
 SIBLINGS = "SELECT 'w' AS workspace_id, id FROM fx_tree WHERE kind = 'folder' AND parent_id = 'r1'"
@@ -200,7 +211,7 @@ SELECT DISTINCT 'w' AS workspace_id, s.a AS source, t.a AS target FROM deps d
 JOIN (SELECT id, ancestor AS a FROM anc WHERE ancestor IN (SELECT id FROM siblings)) s ON s.id = d.source
 JOIN (SELECT id, ancestor AS a FROM anc WHERE ancestor IN (SELECT id FROM siblings)) t ON t.id = d.target WHERE s.a <> t.a""", rec=ANC, shown=SHOWN, deps=DEPS, siblings=SIBLINGS))
 def _(spark, sf):
-    return tree_ops.sibling_edges(query(spark, sf, DEPS), closed(spark, sf)[1], query(spark, sf, SIBLINGS))
+    return tree_ops.sibling_edges(query(spark, sf, DEPS), labelled(spark, sf)[1], query(spark, sf, SIBLINGS))
 
 
 @register("child_counts", oracle("SELECT 'w' AS workspace_id, t.id, (SELECT count(*) FROM fx_tree c WHERE c.parent_id = t.id AND NOT c.is_external) AS children FROM fx_tree t"))
