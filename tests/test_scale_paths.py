@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import chunks as ck
 from terrane.operators import learning as ln
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
-from terrane.operators.knn import knn
+from terrane.operators.intervals import holding, interval_labels, nearest, open_over
+from terrane.operators.knn import build_index, knn, search, visited
 from terrane.session import running_row_number
 
 
@@ -85,12 +87,91 @@ def test_knn_is_exact_across_cells_and_blocks(spark):
     base[100:200] = base[100]  # a third are copies of one vector
     store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
     queries = store.withColumnRenamed("vec_id", "query_id")
-    got = knn(queries, store, 4, block_bytes=4000).select("query_id", "rank", "vec_id")
+    got = knn(queries, store, 4, pivots=20, shard_bytes=2000, query_bytes=1000).select("query_id", "rank", "vec_id")
     d = ((base[:, None, :].astype(float) - base[None, :, :]) ** 2).sum(2)
     want = [(q, r + 1, v) for q in range(300) for r, v in enumerate(sorted(range(300), key=lambda v: (d[q, v], v))[:4])]
     assert rows(got) == sorted(want)
 
 
+def test_knn_visits_only_cells_that_can_win(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 6)) * 50
+    base = (centres[np.arange(600) % 20] + rng.normal(size=(600, 6))).astype(np.float32)
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").repartition(5)
+    queries = store.withColumnRenamed("vec_id", "query_id")
+    index = build_index(store, pivots=40)
+    assert index.counts.sum() == 600
+    visits = visited(index, queries, 3).collect()
+    assert len(visits) == 600 and sum(r.visited for r in visits) < 0.3 * sum(r.cells for r in visits)
+    d = ((base[:, None, :].astype(float) - base[None, :, :]) ** 2).sum(2)
+    want = [(q, r + 1, v) for q in range(600) for r, v in enumerate(sorted(range(600), key=lambda v: (d[q, v], v))[:3])]
+    assert rows(search(index, queries, 3).select("query_id", "rank", "vec_id")) == sorted(want)
+
+
+def test_knn_of_few_rows(spark):
+    store = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("n", None)], "vec_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, None)], "query_id int, embedding array<float>")
+    assert rows(knn(queries.dropDuplicates(), store, 5).select("query_id", "rank", "vec_id", "distance")) == [(1, 1, "a", 0.0), (1, 2, "b", 25.0)]
+    assert rows(knn(queries, store.limit(0), 5)) == []
+    assert rows(knn(queries.limit(0), store, 5)) == []
+
+
+def _random_tree(rng, n, shape):
+    ids = [f"n{i:03d}" for i in range(n)]
+    parent = {}
+    for i, x in enumerate(ids):
+        if i and rng.random() < 0.97:
+            parent[x] = ids[i - 1] if shape == "chain" or (shape == "mixed" and rng.random() < 0.7) else ids[0] if shape == "star" else ids[rng.randrange(i)]
+    return ids, parent
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "mixed", "random"])
+def test_interval_labels(spark, shape):
+    rng = random.Random(shape)
+    ids, parent = _random_tree(rng, 120, shape)
+    parent["n119"] = "has no row"
+    data = [(w, x, parent.get(x)) for w in ("a", "b") for x in ids] + [("c", "self", "self")]
+    df = spark.createDataFrame(data, "workspace_id string, id string, parent_id string")
+    labels = interval_labels(df)
+    got = {(r.workspace_id, r.id): r for r in labels.collect()}
+    assert set(got) == {(w, x) for w, x, _ in data} | {("a", "has no row"), ("b", "has no row")}
+    closure = {}
+    for x in [*ids, "has no row"]:
+        up, at = [], x
+        while at in parent:
+            at = parent[at]
+            up.append(at)
+        closure[x] = up
+    for w in ("a", "b"):
+        for x in closure:
+            assert got[w, x].depth == len(closure[x]) and got[w, x].parent_id == parent.get(x)
+            for y in closure:
+                inside = got[w, y].enter < got[w, x].enter and got[w, x].exit < got[w, y].exit
+                assert inside == (y in closure[x])
+    kept = set(rng.sample(ids, 25))
+    shown = spark.createDataFrame([("a", x) for x in kept], "workspace_id string, id string")
+    placed = labels.join(shown, ["workspace_id", "id"], "left_semi")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts
+    try:
+        near = {r.id: r.shown for r in nearest(labels.filter("workspace_id = 'a'"), placed).collect()}
+        count = {r.id: r.open for r in open_over(labels.filter("workspace_id = 'a'"), placed, True).collect()}
+        held = {r.id for r in holding(labels.filter("workspace_id = 'a'"), placed).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert near == {x: next((y for y in [x, *closure[x]] if y in kept), None) for x in closure}
+    assert count == {x: sum(y in kept for y in closure[x]) for x in closure}
+    assert held == {y for x in kept for y in closure[x]}
+
+
+def test_labels_refuse_what_is_no_tree(spark):
+    schema = "workspace_id string, id string, parent_id string"
+    with pytest.raises(ValueError, match="cycle"):
+        interval_labels(spark.createDataFrame([("w", "a", "b"), ("w", "b", "c"), ("w", "c", "a"), ("w", "d", None)], schema))
+    with pytest.raises(ValueError, match="several"):
+        interval_labels(spark.createDataFrame([("w", "a", "b"), ("w", "a", "c")], schema))
+    assert interval_labels(spark.createDataFrame([], schema)).count() == 0
+
+
 def _graph(spark):
     rng = random.Random(11)
     names = [f"n{i:03d}" for i in range(120)]
