@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from .common import only, staged
-from .tokens import BatchTokenizer, steps
+from .tokens import steps, tokenizer_of
 
 FORMAT = "token_frames"
 MAGIC = b"TKF1"
@@ -85,7 +85,7 @@ def _encoder(tokenizer_path: str, end_id: int, most: int | None, dictionary: byt
     """Arrow batches of documents to (doc_id, n_tokens, frame); without a dictionary level, raw id bytes of ``most`` ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = BatchTokenizer(tokenizer_path)
+        tokenizer, last = tokenizer_of(tokenizer_path), end_id.to_bytes(width, "little")
         if most is None:
             held = _dictionary(dictionary)
             squeeze = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **({"dict_data": held} if held else {})).compress
@@ -94,11 +94,12 @@ def _encoder(tokenizer_path: str, end_id: int, most: int | None, dictionary: byt
         for whole in batches:
             for b in steps(whole):
                 ids, ends = tokenizer.encode_column(b.column("text"))
-                counts, frames, first = [], [], 0
-                for end in ends.tolist():
-                    mine = np.append(ids[first:end], np.uint32(end_id))
-                    counts.append(len(mine))
-                    frames.append(squeeze((mine if most is None else mine[:most]).astype(f"<u{width}").tobytes()))
+                serial = ids.astype(f"<u{width}").tobytes()
+                counts = np.diff(ends, prepend=0) + 1
+                frames, first = [], 0
+                for end in (ends * width).tolist():
+                    mine = serial[first:end] + last
+                    frames.append(squeeze(mine if most is None else mine[: most * width]))
                     first = end
                 yield pa.record_batch(
                     [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"]
@@ -120,7 +121,7 @@ def train(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> bytes:
     if not rows:
         return b""
     rate = int(min(1.0, DICTIONARY_DOCS / rows) * (1 << 30)) + 1
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate)
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate).repartition(4)
     width = id_width(tokenizer_path)
     made = chosen.mapInArrow(_encoder(tokenizer_path, end_id, DICTIONARY_IDS, b"", width), _frame_schema(docs))
     samples = [bytes(r.frame) for r in made.select("frame").limit(2 * DICTIONARY_DOCS).collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from .packing import _PIECES, _PLAIN, WordTokenizer
 #: Bytes of text encoded in one step; a longer text is a step of its own.
 STEP_BYTES = 12 << 20
 #: Distinct chunks remembered with their ids, a matter of speed only.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 200_000
 
 
 class BatchTokenizer(WordTokenizer):
@@ -71,6 +72,12 @@ class BatchTokenizer(WordTokenizer):
         return ids
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> BatchTokenizer:
+    """One tokenizer for all the tasks a worker process runs."""
+    return BatchTokenizer(path)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about ``STEP_BYTES`` of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
