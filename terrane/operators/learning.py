@@ -36,7 +36,8 @@ def proficiency(interactions: DataFrame, order: tuple[str, str] = ("ts", "event_
     """Adds the proficiency each interaction was met with, from the interactions before it.
 
     Only two moments per user matter, the events that fill each threshold.
-    A bounded top-n finds them and every event is compared with them.
+    A bounded top-n finds them and every event is compared with them.  Events
+    without a user count together, as those of one nameless user.
     """
     key = F.struct(*order)
     last = rules.ADVANCED_ABOVE + 1
@@ -46,7 +47,9 @@ def proficiency(interactions: DataFrame, order: tuple[str, str] = ("ts", "event_
         F.max(F.when(F.col("_n") == rules.INTERMEDIATE_ABOVE + 1, key)).alias("_mid"), F.max(F.when(F.col("_n") == last, key)).alias("_high")
     )
     level = F.when(key > F.col("_high"), "advanced").when(key > F.col("_mid"), "intermediate").otherwise("beginner")
-    return interactions.join(marks, ["user_id"]).withColumn("proficiency", level).drop("_mid", "_high")
+    named = marks.withColumnRenamed("user_id", "_user")
+    joined = interactions.join(named, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+    return joined.withColumn("proficiency", level).drop("_user", "_mid", "_high")
 
 
 def topic_attempts(interactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -33,19 +33,29 @@ FROM (SELECT *, min(d) OVER (PARTITION BY workspace_id, suffix) AS md FROM (
 GROUP BY workspace_id, suffix
 """
 
-RESOLVED_IMPORTS = f"""
-SELECT i.*, coalesce(
-  (SELECT m.module_name FROM mods m WHERE m.workspace_id = i.workspace_id AND m.module_name = i.raw_module),
-  (SELECT m.module_name FROM mods m WHERE m.workspace_id = i.workspace_id AND m.module_name = i.raw_module || '.' || i.name),
-  (SELECT max_by(m.module_name, length(m.module_name)) FROM mods m WHERE m.workspace_id = i.workspace_id AND starts_with(i.raw_module, m.module_name || '.')),
-  (SELECT max_by(m.module_name, length(m.module_name)) FROM mods m WHERE m.workspace_id = i.workspace_id AND ends_with(i.raw_module, '.' || m.module_name) AND contains(m.module_name, '.')),
-  CASE WHEN contains(i.raw_module, '.') THEN coalesce(
-    (SELECT x.target FROM suffix_index x WHERE x.workspace_id = i.workspace_id AND x.suffix = i.raw_module),
-    (SELECT x.target FROM suffix_index x WHERE x.workspace_id = i.workspace_id AND x.suffix = i.raw_module || '.' || i.name)) END,
-  i.raw_module) AS target
-FROM fx_imports i WHERE {semantic('i.raw_module')} AND NOT {noise('i.raw_module')}
+def resolved_sql(imports: str, mods: str, suffixes: str) -> str:
+    """Imports with their targets; every lookup is a join on equal keys."""
+    parts = f"SELECT workspace_id, raw_module, string_split(raw_module, '.') AS p FROM (SELECT DISTINCT workspace_id, raw_module FROM {imports}) d"
+    within = """(SELECT c.workspace_id, c.raw_module, max_by(m.module_name, length(m.module_name)) AS hit FROM (
+    SELECT workspace_id, raw_module, array_to_string({slice}, '.') AS key FROM ({parts}) s, unnest(range({first}, len(p))) AS u(k)) c
+  JOIN {mods} m ON m.workspace_id = c.workspace_id AND m.module_name = c.key GROUP BY c.workspace_id, c.raw_module)"""
+    prefix = within.format(slice="p[1:k]", first=1, parts=parts, mods=mods)
+    tail = within.format(slice="p[k:]", first=2, parts=parts, mods=mods)
+    return f"""
+SELECT i.*, coalesce(m1.module_name, m2.module_name, pre.hit, post.hit, CASE WHEN contains(i.raw_module, '.') THEN coalesce(s1.target, s2.target) END, i.raw_module) AS target
+FROM {imports} i
+LEFT JOIN {mods} m1 ON m1.workspace_id = i.workspace_id AND m1.module_name = i.raw_module
+LEFT JOIN {mods} m2 ON m2.workspace_id = i.workspace_id AND m2.module_name = i.raw_module || '.' || i.name
+LEFT JOIN {prefix} pre ON pre.workspace_id = i.workspace_id AND pre.raw_module = i.raw_module
+LEFT JOIN {tail} post ON post.workspace_id = i.workspace_id AND post.raw_module = i.raw_module
+LEFT JOIN {suffixes} s1 ON s1.workspace_id = i.workspace_id AND s1.suffix = i.raw_module
+LEFT JOIN {suffixes} s2 ON s2.workspace_id = i.workspace_id AND s2.suffix = i.raw_module || '.' || i.name
+WHERE {semantic('i.raw_module')} AND NOT {noise('i.raw_module')}
 """
 
+
+RESOLVED_IMPORTS = resolved_sql("fx_imports", "mods", "suffix_index")
+
 IMPORT_CTES = {
     "mods": "SELECT DISTINCT workspace_id, module_name FROM fx_modules",
     "suffix_index": SUFFIX_INDEX,
@@ -383,8 +393,8 @@ LABELLED = "SELECT workspace_id, id, CASE WHEN type = 'class' THEN upper(id) END
 @register("adjacency_with_labels", oracle("""
 SELECT a.workspace_id, a.id, direction, other, coalesce(l.label, other) AS label, type FROM (
   SELECT workspace_id, source AS id, 'out' AS direction, target AS other, type FROM fx_edges UNION ALL SELECT workspace_id, target, 'in', source, type FROM fx_edges) a
-LEFT JOIN labelled l ON l.workspace_id = a.workspace_id AND l.id = a.other
-WHERE (a.workspace_id, a.id) IN (SELECT (workspace_id, id) FROM fx_nodes)""", labelled=LABELLED))
+JOIN (SELECT DISTINCT workspace_id, id FROM fx_nodes) n ON n.workspace_id = a.workspace_id AND n.id = a.id
+LEFT JOIN labelled l ON l.workspace_id = a.workspace_id AND l.id = a.other""", labelled=LABELLED))
 def _(spark, sf):
     nodes = query(spark, sf, LABELLED)
     return graph.adjacency_with_labels(nodes, view(spark, sf, "fx_edges"), nodes)
