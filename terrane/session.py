@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 # A key is "hot" beyond this many rows; its running totals are taken slice by slice.
 HOT_ROWS = 2_000_000
+# Jobs that are submitted side by side.
+JOBS = 6
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -51,6 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_once(work: dict[str, Callable]) -> dict:
+    """Results of independent steps that each run Spark jobs; a few jobs share the cluster."""
+    with ThreadPoolExecutor(JOBS) as pool:
+        return dict(zip(work, pool.map(lambda step: step(), work.values())))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after counting that ``df`` stays within ``max_rows``.
 
