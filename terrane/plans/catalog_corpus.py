@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -12,6 +13,8 @@ from ..functions import rules, text
 from ..operators import corpus
 from ..sources import files as source
 from ..sources import graph_json
+from ..session import checkpoint_folder
+from .code import source_files
 from .derived import oracle, query, table, view
 from .registry import register
 
@@ -25,6 +28,17 @@ def quoted(values: list[str]) -> str:
 PARTS = "list_filter(string_split(lower(path), '/'), lambda p: p <> '')"
 
 
+@register("scan_sources", oracle("SELECT workspace_id, path, path LIKE '%.py' AS python FROM fx_modules WHERE path LIKE 'src/%'"))
+def _(spark, sf):
+    """Every file of the derived corpus, written as a tree of files and scanned."""
+    root = f"{checkpoint_folder(spark)}/trees/{uuid.uuid4().hex}"
+    source.write_sources(source_files(spark, sf), root)
+    found = source.scan_sources(spark, root).filter("workspace_id IN ('w0', 'w1')")
+    # the text of a file is that of its row
+    same = found.join(source_files(spark, sf).select(WS, "path", F.col("content").alias("was")), [WS, "path"]).filter("content = was")
+    return same.select(WS, "path", F.col("path").endswith(".py").alias("python"))
+
+
 @register("drop_skipped_paths", oracle(f"""
 SELECT workspace_id, doc_id, path FROM fx_paths WHERE NOT (list_has_any({PARTS}, {quoted(rules.SKIP_DIRS)}) OR (
   len(list_filter({PARTS}, lambda p: starts_with(p, '.') AND p NOT IN ('.', '..'))) > 0 AND NOT list_has_any({PARTS}, ['.github', '.gitignore'])))"""))

@@ -1,12 +1,14 @@
 """Bytes, archives, directories and diffs with rows typed from the semantics."""
 
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import changes, corpus
 from terrane.sources import files as source
-from terrane.sources import graph_json
+from terrane.sources import graph_json, tree
 
 
 def test_decoding(spark):
@@ -25,6 +27,48 @@ def test_scan(spark, tmp_path):
     assert source.scan_sources(spark, str(tmp_path), content=False).columns == ["workspace_id", "path", "size", "modified"]
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = [(w, p, f"{w} {p}") for w in ("w1", "w2", "w3") for p in ("src/a.py", "src/b/__init__.py", "lib/c.ts", "top.js", "node_modules/x.js", "src/b/read.me")]
+    root = str(tmp_path / "tree")
+    source.write_sources(spark.createDataFrame(rows, "workspace_id string, path string, content string"), root)
+    assert [p.name for p in tmp_path.iterdir()] == ["tree"]
+    want = {(w, p, t) for w, p, t in rows if p.endswith((".py", ".ts", ".js")) and "node_modules" not in p}
+
+    def found(df):
+        return {(r.workspace_id, r.path, r.content) for r in df.collect()}
+
+    for folders in ("1", "2", "256"):
+        read = source._tree(spark).option("folders", folders).option("bytes", "1").load(root).withColumn("content", source.decode_content("content"))
+        assert found(read) == want
+    some = source.scan_sources(spark, root).filter("workspace_id = 'w2' AND path LIKE 'src/%'")
+    assert found(some) == {r for r in want if r[0] == "w2" and r[1].startswith("src/")}
+    assert found(source.scan_sources(spark, root).filter("path IN ('top.js', 'nowhere.py')")) == {r for r in want if r[1] == "top.js"}
+    reader = tree.TreeReader({"path": root})
+    kept = list(reader.pushFilters([tree.EqualTo(("workspace_id",), "w2"), tree.StringStartsWith(("path",), "src/b"), tree.EqualTo(("size",), 3)]))
+    assert kept == [tree.EqualTo(("size",), 3)]
+    assert {f[:2] for p in reader.partitions() for f in p.files} | {f for p in reader.partitions() for f in p.folders} == {("w2", "src/b/__init__.py")}
+    with pytest.raises(Exception, match="outside the tree"):
+        source.write_sources(spark.createDataFrame([("w", "../up.py", "x")], "workspace_id string, path string, content string"), root)
+    assert [p.name for p in tmp_path.iterdir()] == ["tree"] and found(source.scan_sources(spark, root)) == want
+
+
+def test_arriving_files_stream(spark, tmp_path):
+    root, schema = str(tmp_path / "tree"), "workspace_id string, path string, content string"
+
+    def run():
+        q = source.stream_sources(spark, root).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+
+    source.write_sources(spark.createDataFrame([("w", "a.py", "one")], schema), root)
+    time.sleep(1.2)
+    run()
+    source.write_sources(spark.createDataFrame([("w", "b.py", "two"), ("v", "c/d.ts", "three")], schema), root)
+    time.sleep(1.2)
+    run()
+    got = sorted((r.workspace_id, r.path, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("v", "c/d.ts", "three"), ("w", "a.py", "one"), ("w", "b.py", "two")]
+
+
 def test_archives(spark, tmp_path):
     good = tmp_path / "good.zip"
     with zipfile.ZipFile(good, "w") as z:
