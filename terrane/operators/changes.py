@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
 from ..functions.ids import as_col
+from ..session import written
+from ..sources.bucketed import Change, Snapshot, Store
 from . import extract, graph
 
 WS = "workspace_id"
@@ -233,6 +235,21 @@ def apply_batch(store: DataFrame, changes: DataFrame) -> DataFrame:
     return graph.merge_snapshots(store, passed, (WS, "path"))
 
 
+def commit_batch(store: Store, table: str, changes: DataFrame) -> Snapshot:
+    """Publish the files of passing batches as one version of a bucketed table keyed by (workspace_id, path).
+
+    Of two writers of the same files one wins and the other starts again
+    from its version; every version stays readable (``store.snapshot(n)``).
+    """
+    passed = written(batch_verdict(changes).filter("applied"), "passed")
+
+    def put(change: Change) -> None:
+        rows = passed.select(*change.base.schema(table).names)
+        change.upsert(table, graph.merge_snapshots(rows.limit(0), rows, tuple(change.base.keys(table))))
+
+    return store.transact(put)
+
+
 def versioned_snapshot(store: DataFrame, changes: DataFrame) -> DataFrame:
     """Prior version of every changed file under a time-stamped name beside it.
 

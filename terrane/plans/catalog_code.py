@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import changes as ch
 from ..operators import extract, js
+from ..session import checkpoint_folder
+from ..sources.bucketed import Store
 from .code import source_files
 from .derived import oracle, query, table, view
 from .registry import register
@@ -266,7 +270,9 @@ SELECT m.workspace_id, m.path, CASE WHEN v.applied THEN -1 ELSE m.k END AS versi
   SELECT workspace_id, path, bool_and(is_valid) OVER (PARTITION BY workspace_id, batch_id) AS applied FROM fx_changes) v ON v.workspace_id = m.workspace_id AND v.path = m.path"""))
 def _(spark, sf):
     changed = view(spark, sf, "fx_changes").withColumn("version", F.lit(-1).cast("bigint"))
-    return ch.apply_batch(query(spark, sf, STORE), changed)
+    store = Store(spark, f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}", 16)
+    store.create({"files": (query(spark, sf, STORE), [WS, "path"])})
+    return ch.commit_batch(store, "files", changed).table("files")
 
 
 # each change is stamped with the moment of the event of the same batch

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import ids, text
 from ..operators import chunks as ck
 from ..operators import context, vectors
 from ..operators.knn import knn
+from ..session import checkpoint_folder
+from ..sources.bucketed import Store
 from .derived import oracle, query, stored, table, texts, view
 from .registry import register
 
@@ -175,14 +179,23 @@ NEW_VECTORS = "SELECT vec_id * 2 AS vec_id, embedding, label + 100 AS label FROM
 GONE = "SELECT vec_id * 3 AS vec_id FROM embeddings"
 
 
+def vector_store(spark, sf):
+    """The embeddings as a bucketed table, of which changes rewrite the buckets they touch."""
+    store = Store(spark, f"{checkpoint_folder(spark)}/vectors/{uuid.uuid4().hex}", 16)
+    store.create({"vectors": (table(spark, sf, "embeddings"), ["vec_id"])})
+    return store
+
+
 @register("upsert_vectors", oracle("SELECT vec_id, label FROM nv UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM nv)", nv=NEW_VECTORS))
 def _(spark, sf):
-    return vectors.upsert_vectors(table(spark, sf, "embeddings"), query(spark, sf, NEW_VECTORS)).select("vec_id", "label")
+    store = vector_store(spark, sf)
+    return store.transact(lambda change: change.upsert("vectors", query(spark, sf, NEW_VECTORS))).table("vectors").select("vec_id", "label")
 
 
 @register("delete_vectors", oracle("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM gone)", gone=GONE))
 def _(spark, sf):
-    return vectors.delete_vectors(table(spark, sf, "embeddings"), query(spark, sf, GONE)).select("vec_id", "label")
+    store = vector_store(spark, sf)
+    return store.transact(lambda change: change.delete("vectors", query(spark, sf, GONE))).table("vectors").select("vec_id", "label")
 
 
 HITS = """SELECT q AS query_id, v AS vec_id, CAST(rank AS INT) AS rank, d * d AS distance FROM (

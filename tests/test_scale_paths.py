@@ -212,6 +212,25 @@ def test_k_hop_grows_with_depth(spark):
                 reached.setdefault(o, depth + 1)
 
 
+def test_many_searches_share_a_pass(spark):
+    names, edges, nodes, df = _graph(spark)
+    around = {}
+    for _, a, b in edges:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    asked = [("w", q, f"n{(q * 7 + i) % 120:03d}") for q in range(150) for i in range(1 + q % 3)]
+    centers = spark.createDataFrame(asked + [("w", 999, "missing")], "workspace_id string, query_id int, id string")
+    got = {(r.query_id, r.id): r.hop for r in k_hop(nodes, df, centers, 2, ["query_id"]).collect()}
+    want = {}
+    for _, q, n in asked:
+        layer = {n}
+        for hop in range(3):
+            for x in layer:
+                want[q, x] = min(hop, want.get((q, x), 9))
+            layer = set().union(*(around.get(x, set()) for x in layer))
+    assert got == want
+
+
 def test_closure_of_a_long_chain(spark):
     chain = [("w", f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
     df = spark.createDataFrame(chain, "workspace_id string, id string, parent_id string")
