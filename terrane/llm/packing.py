@@ -187,7 +187,9 @@ def pack(
     kind = dict(frame.dtypes)["doc_id"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = WordTokenizer(tokenizer_path), Packer(max_tokens, max_segments, max_loss)
+        from .tokens import steps, tokenizer_of
+
+        tokenizer, packer = tokenizer_of(tokenizer_path), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         kept: dict[int, object] = {}
@@ -202,19 +204,22 @@ def pack(
             for doc in [d for d in kept if d not in alive]:
                 del kept[doc]
 
-        for b in batches:
-            names = b.schema.names
-            froms = b.column("loss_from").to_pylist() if "loss_from" in names else [0] * b.num_rows
-            for doc, text, first in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), froms):
-                ids = np.append(tokenizer.encode(text or ""), END_ID).astype("<u4")
-                kept[number] = doc
-                packer.add(Item(number, 0, ids, max(0, first or 0)))
-                number += 1
-                if len(packer.pool) >= POOL:
-                    placed(False)
-            if rows:
-                yield _batch(rows, b.schema.field("doc_id").type)
-                rows.clear()
+        for whole in batches:
+            for b in steps(whole):
+                froms = b.column("loss_from").to_pylist() if "loss_from" in b.schema.names else [0] * b.num_rows
+                every, ends = tokenizer.encode_column(b.column("text"))
+                at = 0
+                for doc, end, first in zip(b.column("doc_id").to_pylist(), ends.tolist(), froms):
+                    ids = np.append(every[at:end], np.uint32(END_ID)).astype("<u4")
+                    at = end
+                    kept[number] = doc
+                    packer.add(Item(number, 0, ids, max(0, first or 0)))
+                    number += 1
+                    if len(packer.pool) >= POOL:
+                        placed(False)
+                if rows:
+                    yield _batch(rows, b.schema.field("doc_id").type)
+                    rows.clear()
         placed(True)
         if rows:
             yield _batch(rows, _arrow(kind))
