@@ -154,13 +154,3 @@ def prompt_table(
     cut = body.withColumn("body", truncate_head("content", F.col("file_budget")))
     grown = F.floor(text.token_count("body", mode) * F.lit(1.3)).cast("bigint")
     return cut.withColumn("output_budget", F.greatest(F.lit(least_output).cast("bigint"), grown if most_output is None else F.least(F.lit(most_output).cast("bigint"), grown)))
-
-
-def cached_results(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): requests by cache key; ``force_refresh`` never hits, changed content changes the key."""
-    keyed = requests.withColumn("key", text.cache_key("task", "path", "content", "extra"))
-    askable = keyed.filter("NOT force_refresh")
-    stored = cache.select("key", "result").dropDuplicates(["key"])
-    hits = askable.join(stored, "key")
-    misses = askable.join(stored, "key", "left_anti").unionByName(keyed.filter("force_refresh"))
-    return hits, misses

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import learning as ln
 from ..operators import responses as rs
+from ..operators import result_cache
+from ..session import checkpoint_folder
 from .derived import oracle, query, table, view
 from .registry import register
 
@@ -268,5 +272,6 @@ CACHED = "SELECT 'explain' AS task, CAST(doc_id AS STRING) AS path, text AS cont
 SELECT r.doc_id, coalesce(NOT r.force_refresh AND c.content IS NOT NULL, false) AS hit FROM r LEFT JOIN c ON c.path = r.path AND c.content = r.content""", r=REQUESTS, c=CACHED))
 def _(spark, sf):
     cache = query(spark, sf, CACHED).select(text.cache_key("task", "path", "content", "extra").alias("key"), "result")
-    hits, misses = rs.cached_results(query(spark, sf, REQUESTS), cache)
+    store = result_cache.create_cache(spark, f"{checkpoint_folder(spark)}/caches/{uuid.uuid4().hex}", cache, 16)
+    hits, misses = result_cache.cached_results(query(spark, sf, REQUESTS), store.snapshot())
     return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
