@@ -220,6 +220,7 @@ def pack(
                 if rows:
                     yield _batch(rows, b.schema.field("doc_id").type)
                     rows.clear()
+        tokenizer.forget()
         placed(True)
         if rows:
             yield _batch(rows, _arrow(kind))

@@ -104,6 +104,7 @@ def _encoder(tokenizer_path: str, end_id: int, most: int | None, dictionary: byt
                 yield pa.record_batch(
                     [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"]
                 )
+        tokenizer.forget()
 
     return encode
 

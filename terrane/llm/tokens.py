@@ -45,6 +45,11 @@ class BatchTokenizer(WordTokenizer):
         edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         return taken.values.to_numpy(), taken.offsets.to_numpy()[edges[1:]]
 
+    def forget(self) -> None:
+        """Drop what a task remembered, so that an idle worker holds little."""
+        self.chunks.clear()
+        self.pieces.clear()
+
     def _learn(self, distinct: list[str]) -> None:
         known, pieces = self.chunks, self.pieces
         new = [c for c in distinct if c not in known]
