@@ -1,34 +1,163 @@
-"""Learner profiles and session matching as streams."""
+"""Learner profiles and session matching as streams over keyed state with timers and expiry."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import rules
 from ..operators import learning
 
+# Keyed state with timers lives in this store.
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DECISIVE = ("confused", "mastered")
+
+
+def _keyed_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+
 
 def stream_topic_totals(interactions: DataFrame) -> DataFrame:
     """Running totals per (user, topic), for update-mode sinks keyed by both.
 
     A built-in streaming aggregate: state is one row per (user, topic),
     events combine before the shuffle, and ``learning.profiles`` turns the
-    sink's table into profiles.
+    sink's table into profiles.  Its state never expires.
     """
     return learning.topic_totals(interactions)
 
 
+_PART = ["user_id", "topic", "n", "last_us", "judged", "decision", "at_us", "at_id"]
+_NOTHING = -(2**63)
+
+
+def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Totals per (user, topic) of rows that are totals already: counts add up, the latest decision stays."""
+    ordered = pdf.sort_values(["at_us", "at_id"], kind="stable")
+    return ordered.groupby(["user_id", "topic"], as_index=False, dropna=False, sort=False).agg(
+        n=("n", "sum"), last_us=("last_us", "max"), judged=("judged", "sum"), decision=("decision", "last"), at_us=("at_us", "max"), at_id=("at_id", "last")
+    )
+
+
+class TopicTotals(StatefulProcessor):
+    """A user's topics as map state; a topic that nothing touches for the time to live is forgotten."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.topics = handle.getMapState("topics", "topic string", "n bigint, last_us bigint, judged bigint, decision string, at_us bigint, at_id bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = _combine(pd.concat(list(rows), ignore_index=True)[_PART])
+        out = []
+        for r in fresh.itertuples(index=False):
+            n, last, judged, decision, at, at_id = (r.n, r.last_us, r.judged, r.decision, r.at_us, r.at_id)
+            if self.topics.containsKey((r.topic,)):
+                old = self.topics.getValue((r.topic,))
+                n, last, judged = n + old[0], max(last, old[1]), judged + old[2]
+                if (old[4], old[5]) > (at, at_id):
+                    decision, at, at_id = old[3], old[4], old[5]
+            decision = None if pd.isna(decision) else decision
+            self.topics.updateValue((r.topic,), (int(n), int(last), int(judged), decision, int(at), int(at_id)))
+            out.append((key[0], r.topic, int(n), int(last), int(judged), decision))
+        yield pd.DataFrame(out, columns=["user_id", "topic", "n", "last_us", "judged", "decision"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_topics(interactions: DataFrame, ttl_hours: float | None = None) -> DataFrame:
+    """Totals like ``stream_topic_totals`` from map state that expires: a topic untouched for ``ttl_hours`` starts anew.
+
+    Events combine per task before they are shuffled, so a user with very
+    many events sends one row a task and topic.  For update-mode sinks.  With
+    a time to live the query looks at the clock in every batch, so it runs
+    until it is stopped; an ``availableNow`` trigger never ends it.
+    """
+    spark = interactions.sparkSession
+    _keyed_state(spark)
+    kind = dict(interactions.dtypes)["user_id"]
+    decisive = F.col("outcome").isin(*DECISIVE)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    single = interactions.select(
+        "user_id", "topic", F.lit(1).cast("bigint").alias("n"), us.alias("last_us"), F.col("outcome").isNotNull().cast("bigint").alias("judged"),
+        F.when(decisive, F.col("outcome")).alias("decision"), F.when(decisive, us).otherwise(F.lit(_NOTHING)).alias("at_us"),
+        F.when(decisive, F.col("event_id").cast("bigint")).otherwise(F.lit(_NOTHING)).alias("at_id"),
+    )
+
+    def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield _combine(pdf)[_PART]
+
+    parts = single.mapInPandas(per_task, single.schema)
+    ttl = None if ttl_hours is None else int(ttl_hours * 3_600_000)
+    totals = parts.groupBy("user_id").transformWithStateInPandas(
+        TopicTotals(ttl), f"user_id {kind}, topic string, n bigint, last_us bigint, judged bigint, decision string", "Update", "None" if ttl is None else "ProcessingTime"
+    )
+    last = F.timestamp_micros("last_us").cast(dict(interactions.dtypes)["ts"])
+    return totals.select("user_id", "topic", "n", last.alias("last"), "judged", "decision")
+
+
 # moments cross into Python as microseconds, free of any session time zone
 _OUT = "eval_id bigint, session_id bigint, eval_us bigint, consumed boolean, focus string, difficulty string"
-_STATE = "created_us bigint, focus string, difficulty string, eval_us bigint, eval_id bigint"
 _COLUMNS = ["eval_id", "session_id", "eval_us", "consumed", "focus", "difficulty"]
 
 
+class Sessions(StatefulProcessor):
+    """A session and its earliest evaluation so far; a timer settles them once nothing earlier can come."""
+
+    def __init__(self, limit_us: int):
+        self.limit_us = limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "created_us bigint, focus string, difficulty string")
+        self.best = handle.getValueState("best", "eval_us bigint, eval_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        created = self.session.get() if self.session.exists() else None
+        best = self.best.get() if self.best.exists() else None
+        best = None if best is None else (best[0], best[1])
+        lost = []
+        for pdf in rows:
+            for is_session, us, eval_id, focus, difficulty in zip(pdf["is_session"], pdf["us"], pdf["eval_id"], pdf["concept_focus"], pdf["difficulty"]):
+                if is_session:
+                    created = (int(us), focus, difficulty)
+                    self.session.update(created)
+                elif best is None:
+                    best = (int(us), int(eval_id))
+                else:
+                    mine = (int(us), int(eval_id))
+                    lost.append(max(mine, best))
+                    best = min(mine, best)
+        if best is not None:
+            self.best.update(best)
+        last = max(x for x in (created[0] + self.limit_us if created is not None else None, best[0] if best is not None else None) if x is not None)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([(e, key[0], us, False, None, None) for us, e in lost], columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = []
+        if self.best.exists():
+            us, eval_id = self.best.get()
+            created, focus, difficulty = self.session.get() if self.session.exists() else (None, None, None)
+            used = created is not None and 0 <= us - created <= self.limit_us
+            rows.append((eval_id, key[0], us, used, focus if used else None, difficulty if used else None))
+        self.session.clear()
+        self.best.clear()
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 minutes", hours: int = rules.SESSION_HOURS) -> DataFrame:
     """Evaluations with the live session they consume, once the watermark has settled it.
 
@@ -37,9 +166,10 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
     the limit consumes the session, whatever order events arrive in.  State
     per session is the session and its earliest evaluation so far; an
     evaluation that loses its place is emitted at once, so a session with
-    countless evaluations still holds one.  Evaluations without a session
-    bypass the state.
+    countless evaluations still holds one; an event-time timer ends it.
+    Evaluations without a session bypass the state.
     """
+    _keyed_state(sessions.sparkSession)
     nothing = F.lit(None)
     opened = sessions.select(
         F.col("session_id").cast("bigint").alias("session_id"), F.lit(True).alias("is_session"), F.col("created_at").cast("timestamp").alias("ts"),
@@ -49,40 +179,9 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
         F.col("session_id").cast("bigint").alias("session_id"), F.lit(False).alias("is_session"), F.col("eval_ts").cast("timestamp").alias("ts"),
         F.col("eval_id").cast("bigint").alias("eval_id"), nothing.cast("string").alias("concept_focus"), nothing.cast("string").alias("difficulty"),
     )
-    limit = hours * 3_600_000_000
-
-    def settle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, focus, difficulty, best_us, best_id = state.get if state.exists else (None, None, None, None, None)
-        rows = []
-
-        def out(eval_id, us, used):
-            rows.append((eval_id, key[0], us, used, focus if used else None, difficulty if used else None))
-
-        if state.hasTimedOut:
-            if best_id is not None:
-                used = created is not None and 0 <= best_us - created <= limit
-                out(best_id, best_us, used)
-            state.remove()
-        else:
-            for pdf in frames:
-                for is_session, us, eval_id, f, d in zip(pdf["is_session"], pdf["us"], pdf["eval_id"], pdf["concept_focus"], pdf["difficulty"]):
-                    if is_session:
-                        created, focus, difficulty = int(us), f, d
-                    elif best_id is None:
-                        best_us, best_id = int(us), int(eval_id)
-                    elif (us, eval_id) < (best_us, best_id):
-                        out(best_id, best_us, False)
-                        best_us, best_id = int(us), int(eval_id)
-                    else:
-                        out(int(eval_id), int(us), False)
-            state.update((created, focus, difficulty, best_us, best_id))
-            last = max(x for x in ((created + limit) if created is not None else None, best_us) if x is not None)
-            state.setTimeoutTimestamp(max(last // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
     matched = (
         opened.unionByName(judged).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("session_id")
-        .applyInPandasWithState(settle, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Sessions(hours * 3_600_000_000), _OUT, "Append", "EventTime")
     )
     return matched.select("eval_id", "session_id", F.timestamp_micros("eval_us").alias("eval_ts"), "consumed", "focus", "difficulty")
 

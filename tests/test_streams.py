@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import learning
@@ -24,14 +26,15 @@ def drop_files(spark, rows, schema, folder, parts):
     return spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def test_profiles_match_batch(spark, tmp_path):
+@pytest.mark.parametrize("totals", [learners.stream_topic_totals, learners.stream_topics])
+def test_profiles_match_batch(spark, tmp_path, totals):
     rng = random.Random(2)
     rows = [(i, rng.randrange(4), at(rng.randrange(5000)), rng.choice(["api", "ui"]), rng.choice([None, "understood", "confused", "mastered"])) for i in range(120)]
     schema = "event_id long, user_id long, ts timestamp_ntz, topic string, outcome string"
     stream = drop_files(spark, rows, schema, tmp_path / "in", 4)
     out = str(tmp_path / "rows")
     run = (
-        learners.stream_topic_totals(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        totals(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
         .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part{n}")).start()
     )
     run.awaitTermination()
@@ -40,6 +43,30 @@ def test_profiles_match_batch(spark, tmp_path):
     assert got == learning.profile_report(spark.createDataFrame(rows, schema)).orderBy("user_id").collect()
 
 
+def test_untouched_topics_expire(spark, tmp_path):
+    schema = "event_id long, user_id long, ts timestamp_ntz, topic string, outcome string"
+
+    def arrive(rows, ttl_hours, expected):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen = []
+        run = (
+            learners.stream_topics(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ttl_hours).writeStream.outputMode("update")
+            .option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, n: seen.extend(df.collect())).trigger(processingTime="1 second").start()
+        )
+        for _ in range(80):
+            if len(seen) >= expected or run.exception():
+                break
+            time.sleep(0.5)
+        run.stop()
+        return sorted((r.user_id, r.topic, r.n, r.judged, r.decision) for r in seen)
+
+    seconds = 3 / 3600
+    first = [(1, 1, at(0), "api", "confused"), (2, 1, at(1), "api", None), (3, 2, at(2), "ui", None)]
+    assert arrive(first, seconds, 2) == [(1, "api", 2, 1, "confused"), (2, "ui", 1, 0, None)]
+    time.sleep(3.5)
+    assert arrive([(4, 1, at(3), "api", None)], seconds, 1) == [(1, "api", 1, 0, None)]  # the old total is gone
+
+
 def test_sessions_match_batch(spark, tmp_path):
     sessions = [(s, at(s * 10), f"topic{s}", "beginner") for s in range(8)]
     rng = random.Random(4)
