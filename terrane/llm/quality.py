@@ -98,5 +98,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Documents with a score of ``threshold`` or more, with all their columns."""
-    return score_quality(docs, fit_quality(docs, labels), docs.columns).filter(F.col("score") >= threshold).select(*docs.columns)
+    """Documents with a score of ``threshold`` or more, with all their columns, whatever their names."""
+    held = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score_quality(docs, fit_quality(docs, labels), docs.columns).toDF(*held, "_score")
+    return scored.filter(F.col("_score") >= threshold).select(*held).toDF(*docs.columns)
