@@ -23,6 +23,8 @@ MAX_LOSS = 4096
 #: Documents looked at together; what they leave over goes on to the next ones.
 POOL = 512
 END_ID = 2
+#: Bytes of text encoded in one step.
+STEP_BYTES = 4 << 20
 #: Words remembered with their ids, a matter of speed only.
 WORDS_KEPT = 300_000
 FIELDS = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -205,7 +207,7 @@ def pack(
                 del kept[doc]
 
         for whole in batches:
-            for b in steps(whole):
+            for b in steps(whole, size=STEP_BYTES):
                 froms = b.column("loss_from").to_pylist() if "loss_from" in b.schema.names else [0] * b.num_rows
                 every, ends = tokenizer.encode_column(b.column("text"))
                 at = 0

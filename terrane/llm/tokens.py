@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,9 +47,13 @@ class BatchTokenizer(WordTokenizer):
         return taken.values.to_numpy(), taken.offsets.to_numpy()[edges[1:]]
 
     def forget(self) -> None:
-        """Drop what a task remembered, so that an idle worker holds little."""
+        """Drop what a task remembered and give free memory back, so that an idle worker holds little."""
         self.chunks.clear()
         self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     def _learn(self, distinct: list[str]) -> None:
         known, pieces = self.chunks, self.pieces
@@ -83,14 +88,14 @@ def tokenizer_of(path: str) -> BatchTokenizer:
     return BatchTokenizer(path)
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most about ``STEP_BYTES`` of text each."""
+def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about ``size`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > first and held + size > STEP_BYTES:
+    for i, length in enumerate(sizes):
+        if i > first and held + length > size:
             yield batch.slice(first, i - first)
             first, held = i, 0
-        held += size
+        held += length
     if first < batch.num_rows:
         yield batch.slice(first)
