@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -106,58 +108,110 @@ def stream_topics(interactions: DataFrame, ttl_hours: float | None = None) -> Da
 # moments cross into Python as microseconds, free of any session time zone
 _OUT = "eval_id bigint, session_id bigint, eval_us bigint, consumed boolean, focus string, difficulty string"
 _COLUMNS = ["eval_id", "session_id", "eval_us", "consumed", "focus", "difficulty"]
+_IN = ["session_id", "unnamed", "is_session", "us", "eval_id", "concept_focus", "difficulty"]
+
+
+#: Keys of the state: the sessions that share one are read and written together.
+BUCKETS = 1024
+_OPEN = pa.schema([
+    ("session_id", pa.int64()), ("created_us", pa.int64()), ("focus", pa.string()), ("difficulty", pa.string()), ("eval_us", pa.int64()), ("eval_id", pa.int64()), ("due_ms", pa.int64()),
+])
+
+
+@dataclass(slots=True)
+class Open:
+    """A session that is not settled: what is known of it, its earliest evaluation so far, and when it is due."""
+
+    created_us: int | None = None
+    focus: str | None = None
+    difficulty: str | None = None
+    eval_us: int | None = None
+    eval_id: int | None = None
+    due_ms: int = 0
+
+
+def _known(v):
+    return None if v is None or v != v else v
 
 
 class Sessions(StatefulProcessor):
-    """A session and its earliest evaluation so far; a timer settles them once nothing earlier can come."""
+    """The open sessions of a bucket and their earliest evaluations; a timer settles those nothing earlier can reach any more.
+
+    A bucket's sessions are one value of state, so that a batch costs a few
+    calls to the store a bucket rather than a dozen a session.
+    """
 
     def __init__(self, limit_us: int):
         self.limit_us = limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "created_us bigint, focus string, difficulty string")
-        self.best = handle.getValueState("best", "eval_us bigint, eval_id bigint")
+        self.held = handle.getValueState("open", "rows binary")
+
+    def _load(self) -> dict[int | None, Open]:
+        if not self.held.exists():
+            return {}
+        table = pa.ipc.open_stream(bytes(self.held.get()[0])).read_all()
+        return {key: Open(*rest) for key, *rest in zip(*(c.to_pylist() for c in table.columns))}
+
+    def _keep(self, sessions: dict[int | None, Open], watermark_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not sessions:
+            self.held.clear()
+            return
+        rows = zip(*((k, s.created_us, s.focus, s.difficulty, s.eval_us, s.eval_id, s.due_ms) for k, s in sessions.items()))
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(rows, _OPEN.types)], schema=_OPEN)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _OPEN) as out:
+            out.write_batch(batch)
+        self.held.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(max(min(s.due_ms for s in sessions.values()), watermark_ms + 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        created = self.session.get() if self.session.exists() else None
-        best = self.best.get() if self.best.exists() else None
-        best = None if best is None else (best[0], best[1])
-        lost = []
+        sessions, watermark = self._load(), timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            for is_session, us, eval_id, focus, difficulty in zip(pdf["is_session"], pdf["us"], pdf["eval_id"], pdf["concept_focus"], pdf["difficulty"]):
+            lost = []
+            for session_id, unnamed, is_session, us, eval_id, focus, difficulty in zip(*(pdf[c] for c in _IN)):
+                name, us = None if unnamed else int(session_id), _known(us)
+                s = sessions.setdefault(name, Open())
                 if is_session:
-                    created = (int(us), focus, difficulty)
-                    self.session.update(created)
-                elif best is None:
-                    best = (int(us), int(eval_id))
+                    s.created_us, s.focus, s.difficulty = None if us is None else int(us), _known(focus), _known(difficulty)
+                elif us is None:
+                    # without a moment it is never the earliest
+                    lost.append((_known(eval_id), name, None, False, None, None))
+                elif s.eval_us is None:
+                    s.eval_us, s.eval_id = int(us), int(eval_id)
                 else:
-                    mine = (int(us), int(eval_id))
-                    lost.append(max(mine, best))
-                    best = min(mine, best)
-        if best is not None:
-            self.best.update(best)
-        last = max(x for x in (created[0] + self.limit_us if created is not None else None, best[0] if best is not None else None) if x is not None)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(last // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame([(e, key[0], us, False, None, None) for us, e in lost], columns=_COLUMNS)
+                    first, other = sorted(((s.eval_us, s.eval_id), (int(us), int(eval_id))))
+                    s.eval_us, s.eval_id = first
+                    lost.append((other[1], name, other[0], False, None, None))
+                last = max((x for x in (None if s.created_us is None else s.created_us + self.limit_us, s.eval_us) if x is not None), default=0)
+                s.due_ms = max(last // 1000 + 1, watermark + 1)
+            yield _answers(lost)
+        self._keep(sessions, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = []
-        if self.best.exists():
-            us, eval_id = self.best.get()
-            created, focus, difficulty = self.session.get() if self.session.exists() else (None, None, None)
-            used = created is not None and 0 <= us - created <= self.limit_us
-            rows.append((eval_id, key[0], us, used, focus if used else None, difficulty if used else None))
-        self.session.clear()
-        self.best.clear()
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        sessions, watermark = self._load(), timerValues.getCurrentWatermarkInMs()
+        rows, later = [], {}
+        for name, s in sessions.items():
+            if s.due_ms > watermark:
+                later[name] = s
+            elif s.eval_us is not None:
+                used = s.created_us is not None and 0 <= s.eval_us - s.created_us <= self.limit_us
+                rows.append((s.eval_id, name, s.eval_us, used, s.focus if used else None, s.difficulty if used else None))
+        self._keep(later, watermark)
+        yield _answers(rows)
 
     def close(self) -> None:
         pass
 
 
+def _answers(rows: list[tuple]) -> pd.DataFrame:
+    """Rows as objects: a missing id or moment must not turn the others into floats."""
+    return pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+
+
 def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 minutes", hours: int = rules.SESSION_HOURS) -> DataFrame:
     """Evaluations with the live session they consume, once the watermark has settled it.
 
@@ -166,7 +220,8 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
     the limit consumes the session, whatever order events arrive in.  State
     per session is the session and its earliest evaluation so far; an
     evaluation that loses its place is emitted at once, so a session with
-    countless evaluations still holds one; an event-time timer ends it.
+    countless evaluations still holds one; event-time timers end it.  Sessions
+    are dealt to ``BUCKETS`` keys, whose state is read and written at once.
     Evaluations without a session bypass the state.
     """
     _keyed_state(sessions.sparkSession)
@@ -180,7 +235,10 @@ def stream_sessions(sessions: DataFrame, evals: DataFrame, lateness: str = "10 m
         F.col("eval_id").cast("bigint").alias("eval_id"), nothing.cast("string").alias("concept_focus"), nothing.cast("string").alias("difficulty"),
     )
     matched = (
-        opened.unionByName(judged).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("session_id")
+        opened.unionByName(judged).withColumns({
+            "us": F.unix_micros("ts"), "unnamed": F.col("session_id").isNull(), "session_id": F.coalesce("session_id", F.lit(0).cast("bigint")),
+            "bucket": F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)),
+        }).withWatermark("ts", lateness).groupBy("bucket")
         .transformWithStateInPandas(Sessions(hours * 3_600_000_000), _OUT, "Append", "EventTime")
     )
     return matched.select("eval_id", "session_id", F.timestamp_micros("eval_us").alias("eval_ts"), "consumed", "focus", "difficulty")
