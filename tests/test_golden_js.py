@@ -1,7 +1,9 @@
 """Hand-written JS/TS sources with rows typed from the semantics."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from terrane.functions import ids
 from terrane.operators import changes, extract, js, resolve
 
 APP = """import React, { useState } from 'react';
@@ -54,6 +56,22 @@ def test_specifiers_reach_files(files):
     assert got == {"react": "react", "./lib/util.js": "web.lib.util", "../shared": "shared.index", "fs": "fs", "./lazy": "web.lazy"}
 
 
+def test_specifiers_ask_for_two_keys_and_rank_as_their_guesses(spark):
+    paths = ["a/b", "a/b.ts", "a/b.js", "a/b/index.ts", "a/c.js", "a/c/index.mjs", "a/d.tsx", "a/d.ts/index.js", "a/e.js.ts", "a/f/index.cjs", "x.ts", "index.js", ".ts", "a/ts", "a/g.py"]
+    specs = ["./b", "./b.js", "./c", "./c.js", "./c.mjs", "./d.ts", "./d", "./d.js", "./e.js", "./f", "./f.ts", "../x", "../x.jsx", "..", ".", "./ts", "./g.py", "./g", "./none", "react", "b", None]
+    files = spark.createDataFrame([("w", p) for p in paths * 2] + [("v", "a/none.ts"), ("w", None), (None, "a/none.ts")], "workspace_id string, path string")
+    asked = [("w", i, s) for s in specs for i in ("a/m.ts", "m.ts", None)] + [(None, "a/m.ts", "./none"), ("w", "a/m.ts", "./b")]
+    imports = spark.createDataFrame(asked, "workspace_id string, importer string, spec string")
+    hits = resolve.js_guesses(imports).join(files.distinct(), ["workspace_id", "path"]).groupBy("workspace_id", "folder", "spec").agg(F.min_by("path", "rank").alias("hit"))
+    slow = imports.withColumn("folder", ids.parent_path("importer")).join(hits, ["workspace_id", "folder", "spec"], "left")
+    want = slow.select("workspace_id", "importer", "spec", F.coalesce(ids.module_id("hit"), "spec").alias("target"))
+    got = resolve.resolve_js_specifiers(imports, files)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.columns == want.columns and want.filter("target <> spec").count() > 15
+    # a specifier was exploded into up to 25 file names, all of which were shuffled
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks(files):
     got = js.segment_js_blocks(files).filter("path = 'web/app.ts'").orderBy("ord").select("kind", "name", "base", "start_line", "end_line").collect()
     # the template string's brace closes the class one line early, and the stray brace afterwards costs nothing
