@@ -11,6 +11,8 @@ from terrane.operators import learning as ln
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
 from terrane.operators.intervals import holding, interval_labels, nearest, open_over
 from terrane.operators.knn import build_index, knn, search, visited
+from terrane.plans import derived
+from terrane.plans.views import SCALED, VIEWS
 from terrane.session import running_row_number
 
 
@@ -236,3 +238,14 @@ def test_closure_of_a_long_chain(spark):
     df = spark.createDataFrame(chain, "workspace_id string, id string, parent_id string")
     got = {(r["id"], r["ancestor"], r["distance"]) for r in ancestor_closure(df).collect()}
     assert got == {(f"n{i}", f"n{j}", i - j) for i in range(40) for j in range(i)}
+
+
+def test_text_pairs_move_a_text_once_and_give_the_rows_of_the_view(spark, tmp_path):
+    ids = [*range(40), *range(250, 260), 511, 511, 512, 512, -256, -257, 1_000_000, 1_000_001, 1_000_011, 1_000_022, 2_000_022, 2_000_033, 3, 3, 22, 22, None, None, -1, -7, -11]
+    rows = [(i, None if n % 9 == 4 else "" if n % 13 == 0 else f"text {n}\nmore") for n, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = (derived.query(spark, str(tmp_path), views["fx_pairs"]) for views in (SCALED, VIEWS))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 80
+    # two joins shuffled and sorted the texts three times, after the newer texts had been written
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
