@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import chunks as ck
+from terrane.operators import iterate
 from terrane.operators import learning as ln
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
 from terrane.operators.intervals import holding, interval_labels, nearest, open_over
@@ -198,6 +199,18 @@ def test_components_partition_the_nodes(spark):
     assert got == {n: find(n) for n in names}
 
 
+def test_component_rounds_move_numbers_and_keep_the_smallest_id(spark, monkeypatch):
+    kept, cut = [], iterate.cut_lineage
+    monkeypatch.setattr(iterate, "cut_lineage", lambda df: kept.append(df.dtypes) or cut(df))
+    nodes = [("w", i) for i in ("b", "a\u00e9", "az", "B", "\U0001f600", "\uffee", "lone", "b", "b", None)] + [("v", "b"), ("v", "az"), (None, "x"), (None, "y")]
+    edges = [("w", "b", "az"), ("w", "az", "a\u00e9"), ("w", "\U0001f600", "\uffee"), ("w", "B", "gone"), ("w", "lone", "lone"), ("w", "b", "az"), ("v", "b", "az"), ("v", "b", "B"), (None, "x", "y"), ("w", None, "b")]
+    got = connected_components(spark.createDataFrame(nodes, "workspace_id string, id string"), spark.createDataFrame(edges, "workspace_id string, source string, target string"))
+    want = [("w", "b", "az"), ("w", "az", "az"), ("w", "a\u00e9", "az"), ("w", "B", "B"), ("w", "lone", "lone"), ("w", "\uffee", "\uffee"), ("w", "\U0001f600", "\uffee"),
+            ("w", None, None), ("v", "az", "az"), ("v", "b", "az"), (None, "x", "x"), (None, "y", "y")]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert kept and {t for types in kept for _, t in types} == {"bigint"}  # each round shuffled and wrote the ids themselves
+
+
 def test_k_hop_grows_with_depth(spark):
     _, edges, nodes, df = _graph(spark)
     centers = spark.createDataFrame([("w", "n001"), ("w", "missing")], "workspace_id string, id string")
