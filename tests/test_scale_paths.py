@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import chunks as ck
+from terrane.operators import graph
 from terrane.operators import iterate
 from terrane.operators import learning as ln
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
@@ -262,3 +263,33 @@ def test_text_pairs_move_a_text_once_and_give_the_rows_of_the_view(spark, tmp_pa
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 80
     # two joins shuffled and sorted the texts three times, after the newer texts had been written
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_views_on_pairs_of_modules_join_them_once_and_give_the_rows_of_the_views(spark, tmp_path):
+    keys = [*range(1, 60), 7, 7, 9, 101, 202, None, -3, -4, -5, 0]
+    part = [(k, f"TYPE {n % 4}", f"Brand#{n % 3}") if n % 11 else (k, None, "Brand#1") for n, k in enumerate(keys)]
+    spark.createDataFrame(part, "p_partkey bigint, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(None if n % 50 == 49 else n // 6, keys[(n * 7 + n // 5) % len(keys)], n % 3, None if n % 17 == 3 else n % 4, float(n % 9), float(n % 2)) for n in range(900)]
+    lines += lines[:100] + [(1, 5000, 9, 1, 1.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("fx_pairs_ab", "fx_imports", "fx_calls", "fx_edges"):
+        got, want = (derived.query(spark, str(tmp_path), views[name]) for views in (SCALED, VIEWS))
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 80
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_risk_moves_a_pair_of_neighbours_once(spark):
+    ends = ["a", "b", "c", None]
+    edges = spark.createDataFrame([("w", ends[i % 4], ends[(i // 4) % 4], "t") for i in range(40)], "workspace_id string, source string, target string, type string")
+    nodes = spark.createDataFrame([("w", x) for x in ("a", "b", "c", "z", "a")], "workspace_id string, id string")
+    out = graph.node_risk(nodes, edges)
+    # the plain way: both directions of every edge
+    plain = graph.neighbor_pairs(edges).groupBy("id", "neighbor").count().groupBy("id").agg({"count": "sum", "neighbor": "count", "*": "count"})
+    want = {r["id"]: (r["sum(count)"], r["count(1)"]) for r in plain.collect()}
+    got = [(r["id"], (r["coupling"], r["complexity"])) for r in out.collect()]
+    assert len(got) == 5 and all(v == want.get(i, (0, 0)) for i, v in got)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    # rows are counted for a pair before its ends are parted
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate") < text.rindex("Aggregate")
