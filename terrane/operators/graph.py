@@ -49,11 +49,20 @@ def neighbor_pairs(edges: DataFrame) -> DataFrame:
 def node_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """coupling (in + out degree), complexity (distinct neighbours) and risk band.
 
-    Counting runs in two steps, first per (node, neighbour): a hub's edges
-    spread over tasks before its totals meet.
+    Counting runs in two steps, first per pair of neighbours: a hub's edges
+    spread over tasks before its totals meet.  A pair moves once, whichever way
+    its edges point; an edge from a node to itself counts twice, one neighbour.
     """
-    per_pair = neighbor_pairs(edges).groupBy(WS, "id", "neighbor").agg(F.count("*").alias("n"))
-    totals = per_pair.groupBy(WS, "id").agg(F.sum("n").alias("coupling"), F.count("*").alias("complexity"))
+    # A missing end comes first, so that both directions of a pair meet.
+    ahead = F.col("source").isNull() | F.coalesce(F.col("source") <= F.col("target"), F.lit(False))
+    x, y = F.when(ahead, F.col("source")).otherwise(F.col("target")), F.when(ahead, F.col("target")).otherwise(F.col("source"))
+    per_pair = edges.select(WS, x.alias("x"), y.alias("y")).groupBy(WS, "x", "y").agg(F.count("*").alias("n"))
+    alone = F.col("x").eqNullSafe(F.col("y"))
+    ends = F.when(alone, F.array(F.struct(F.col("x").alias("id"), (2 * F.col("n")).alias("n")))).otherwise(
+        F.array(F.struct(F.col("x").alias("id"), "n"), F.struct(F.col("y").alias("id"), "n"))
+    )
+    per_end = per_pair.select(WS, F.explode(ends).alias("e")).select(WS, "e.id", "e.n")
+    totals = per_end.groupBy(WS, "id").agg(F.sum("n").alias("coupling"), F.count("*").alias("complexity"))
     scored = nodes.join(totals, [WS, "id"], "left").withColumns(
         {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("coupling", "complexity")}
     )
