@@ -4,8 +4,12 @@ Filter directions are a structured product code: after a random rotation a
 vector is parted into blocks, each with a small random codebook, and every
 combination of code words is a direction.  A vector is decoded to the list of
 all directions whose inner product with it exceeds a bound, by enumerating
-code words in falling order.  Vectors meet in the filters they share, where
-cosines are computed in double precision.
+code words in falling order.  Vectors meet in the filters they share.
+
+What meets there are sketches of two bits a projection, whose likeness rules
+out nearly all unrelated vectors; what they leave hangs together in groups.
+A vector goes to its group once, with its components, and there cosines are
+computed in double precision.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, staged
+from .shingles import mixed
 from .vectors import as_doubles, classes, valid
 
 COSINE = 0.95
@@ -41,6 +46,18 @@ SIDE = 1024
 #: Postings dealt to one group of filters.
 GROUP_ROWS = 20_000
 SEED = 7
+#: Projections of a sketch, and the two-bit quantizer of normal variables: its cut and levels.
+PROJECTIONS, CUT, LOW, HIGH = 64, 0.9816, 0.4528, 1.510
+#: A sketch rejects a pair only this many standard deviations below what pairs at the cosine show.
+DEVIATIONS = 8.0
+#: Vectors decoded in one go, sketches in one task, and in one part of a filter that has more.
+DECODE_ROWS, TASK_SKETCHES, SKETCH_SIDE = 1000, 200_000, 8192
+#: Vectors drawn to see which filters have more; that decides how work is dealt, not what is found.
+DRAWN = 20_000
+#: Groups of more squares a side are compared filter by filter.
+MOST_PARTS = 64
+#: A sketch under a filter: key of the filter, class, signs, and which projections are large.
+POSTING = np.dtype([("key", "<u4"), ("rep", "<i8"), ("signs", "<u8"), ("large", "<u8")])
 
 
 def _tail(t: float) -> float:
@@ -129,28 +146,58 @@ class Code:
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
         """The filters of each unit vector, sorted."""
-        lists = [self._decode(units, *code) for code in self.codes]
+        rows, ids = self.flat(units)
+        order = np.lexsort((ids, rows))
+        return np.split(ids[order], np.cumsum(np.bincount(rows, minlength=len(units)))[:-1])
+
+    def flat(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters of the unit vectors."""
+        rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         size = self.words**self.blocks
-        return [np.sort(np.concatenate([own + r * size for r, own in enumerate(of)])) for of in zip(*lists)]
+        for at in range(0, len(units), DECODE_ROWS):
+            for r, code in enumerate(self.codes):
+                of, own = self._decode(units[at : at + DECODE_ROWS], *code)
+                rows.append(of + at), ids.append(own + r * size)
+        return np.concatenate(rows), np.concatenate(ids)
 
-    def _decode(self, units: np.ndarray, rotation: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+    def _decode(self, units: np.ndarray, rotation: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         turned = units @ rotation
         scores = [turned[:, p] @ b.T for p, b in zip(self.parts, books)]
-        orders = [np.argsort(-s, axis=1) for s in scores]
-        ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, orders)]
-        out = []
-        for i in range(len(units)):
-            ids, sums = np.zeros(1, np.int64), np.zeros(1)
-            # Partial sums that cannot reach the bound with the best words still to come are cut off.
-            best = np.cumsum([r[i, 0] for r in ranked][::-1])[::-1]
-            for k, (order, r) in enumerate(zip(orders, ranked)):
-                to_come = best[k + 1] if k + 1 < self.blocks else 0.0
-                keep = np.searchsorted(-r[i], sums + to_come - self.bound, side="right")
-                rows = np.repeat(np.arange(len(sums)), keep)
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(keep) - keep, keep)
-                ids, sums = ids[rows] * self.words + order[i][place], sums[rows] + r[i][place]
-            out.append(ids)
-        return out
+        # Partial sums that cannot reach the bound with the best words still to come are cut off.
+        best = np.cumsum([s.max(1) for s in scores][::-1], axis=0)[::-1]
+        rows, ids, sums = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units))
+        for k, s in enumerate(scores):
+            to_come = best[k + 1] if k + 1 < self.blocks else np.zeros(len(units))
+            at, word = np.nonzero(s[rows] >= (self.bound - sums - to_come[rows])[:, None])
+            rows, ids, sums = rows[at], ids[at] * self.words + word, sums[at] + s[rows[at], word]
+        return rows, ids
+
+
+class Sketch:
+    """Two bits for each of some projections, and how alike those of a pair at the cosine are at least."""
+
+    def __init__(self, dims: int, cosine: float):
+        rng = np.random.default_rng(SEED)
+        frames = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(math.ceil(PROJECTIONS / dims))]
+        self.turn = np.concatenate(frames, axis=1)[:, :PROJECTIONS] * math.sqrt(dims)
+        x, y = _pairs(rng, dims, cosine, CHECKED)
+        alike = self.alike(*self.of(x), *self.of(y))
+        self.least = float(alike.mean() - DEVIATIONS * alike.std())
+
+    def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signs, large) of each unit vector, a bit a projection."""
+        turned = units @ self.turn
+        return tuple(np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0] for bits in (turned < 0, np.abs(turned) > CUT))
+
+    @staticmethod
+    def alike(sa: np.ndarray, la: np.ndarray, sb: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        """Cosine of the quantized projections."""
+        ones = lambda bits: np.bitwise_count(bits).astype(float)
+        step, apart, both = HIGH - LOW, sa ^ sb, la & lb
+        na, nb = ones(la), ones(lb)
+        dot = LOW * LOW * (PROJECTIONS - 2 * ones(apart)) + LOW * step * (na + nb - 2 * ones(apart & la) - 2 * ones(apart & lb)) + step * step * (ones(both) - 2 * ones(apart & both))
+        norm = lambda n: LOW * LOW * PROJECTIONS + (HIGH * HIGH - LOW * LOW) * n
+        return dot / np.sqrt(norm(na) * norm(nb))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -163,6 +210,131 @@ def _unpack(raw: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(raw, np.float32 if len(raw) == 4 * dims else np.float64).astype(float)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    scaled = x / np.abs(x).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def alike(vectors: DataFrame, n: int, code: Code, fine: Sketch) -> DataFrame:
+    """(a, b): classes whose sketches are alike in a filter they share, linked as far as it takes to hang together.
+
+    A filter's sketches meet in one task, which a task of many small filters
+    shares; a filter of more than ``SKETCH_SIDE`` rows is dealt into squares.
+    """
+    drawn = vectors.select("v").sample(min(1.0, DRAWN / n), SEED).limit(2 * DRAWN).collect() if n > DRAWN else vectors.select("v").collect()
+    each, rows = np.unique(code.flat(_units(np.array([r[0] for r in drawn], float)))[1], return_counts=True) if drawn else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    scale = n / max(1, len(drawn))
+    parts = np.ceil(rows * scale / SKETCH_SIDE).astype(np.int64)
+    hot, hot_parts = each[parts > 1], parts[parts > 1]
+    tasks = max(8, math.ceil((rows.sum() + (rows * (parts - 1)).sum()) * scale / TASK_SKETCHES))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            units, reps = _units(np.array(b.column("v").to_pylist(), float)), b.column("rep").to_numpy()
+            at, filters = code.flat(units)
+            key = mixed(filters.astype(np.uint64))
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, filters), len(hot) - 1)
+                s = np.where(hot[place] == filters, hot_parts[place], 1)
+                # Row r of an s by s grid meets every part once: the cells (least, greatest) that hold its part.
+                part = (mixed(reps.astype(np.uint64))[at] % s.astype(np.uint64)).astype(np.int64)
+                other = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+                at, key, part, s = (np.repeat(x, s) for x in (at, key, part, s))
+                cell = np.minimum(part, other) * s + np.maximum(part, other)
+                key = np.where(s > 1, mixed(key + cell.astype(np.uint64)), key)
+            signs, large = fine.of(units)
+            task = (key % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            out = np.empty(len(order), POSTING)
+            out["key"], out["rep"] = (key[order] >> np.uint64(32)).astype(np.uint32), reps[at[order]]
+            out["signs"], out["large"] = signs[at[order]], large[at[order]]
+            named, first = np.unique(task[order], return_index=True)
+            yield pa.record_batch([pa.array(named, pa.int64()), pa.array([x.tobytes() for x in np.split(out, first[1:])], pa.binary())], ["task", "rows"])
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(part["rows"]), POSTING)
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        heads = _hang_together(rows, fine)
+        hung = np.flatnonzero(heads != np.arange(len(rows)))
+        links = np.stack([rows["rep"][hung], rows["rep"][heads[hung]]], axis=1)
+        return pd.DataFrame(np.unique(links[links[:, 0] != links[:, 1]], axis=0), columns=["a", "b"])
+
+    packed = vectors.select("rep", "v").mapInArrow(post, "task long, rows binary")
+    return packed.groupBy("task").applyInPandas(link, "a long, b long")
+
+
+def _hang_together(rows: np.ndarray, fine: Sketch) -> np.ndarray:
+    """For each row of ``rows``, sorted by key, the first row of its key that alike sketches lead to."""
+    key, signs, large = (np.ascontiguousarray(rows[c]) for c in ("key", "signs", "large"))
+    head = np.arange(len(rows))
+    left, step = head, 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(rows)]
+        left = left[key[left] == key[left + step]]
+        a = left[head[left] != head[left + step]]
+        a = a[fine.alike(signs[a], large[a], signs[a + step], large[a + step]) >= fine.least]
+        if len(a) == 0:
+            continue
+        # Heads that meet take the least of them, until nothing moves.
+        onto = np.arange(len(rows))
+        p, q = head[a], head[a + step]
+        while (moves := onto[p] != onto[q]).any():
+            p, q = p[moves], q[moves]
+            x, y = onto[p], onto[q]
+            np.minimum.at(onto, np.maximum(x, y), np.minimum(x, y))
+            while (further := onto[onto] != onto).any():
+                onto = onto[onto]
+        head = onto[head]
+    return head
+
+
+def compare_groups(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(rep, links, joined) as of ``compare``, of all pairs within the groups of ``placed`` (rep, v, copies, component, s)."""
+    tasks = max(1, math.ceil(placed.count() / GROUP_ROWS))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("s")).cast("int"))
+    cells = dealt.select("*", F.explode(F.expr("transform(sequence(0, s - 1), o -> struct(least(part, o) AS x, greatest(part, o) AS y))")).alias("cell"))
+    keyed = cells.select(
+        "rep", "v", "copies", "component", "part", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"),
+        F.when(F.col("s") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("component", "cell"), F.lit((1 << 62)))).alias("task"),
+    )
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, int] = {}
+        joined: list[tuple[int, int]] = []
+        for (_, x, y), group in rows.groupby(["component", "x", "y"], sort=False):
+            left, right = group[group["part"] == x], group[group["part"] == y]
+            _compare(left, right, x == y, None, dims, cosine, out, joined)
+        return _found(out, joined)
+
+    return keyed.groupBy("task").applyInPandas(links, "rep long, links long, a long, b long")
+
+
+def _found(out: dict, joined: list) -> pd.DataFrame:
+    """(rep, links, a, b): link counts, and links."""
+    pairs = pd.DataFrame(joined, columns=["a", "b"], dtype="int64").drop_duplicates()
+    counted = pd.DataFrame({"rep": list(out), "links": list(out.values())}, dtype="int64")
+    return pd.concat([
+        counted.assign(a=None, b=None).astype({"a": "Int64", "b": "Int64"}),
+        pairs.assign(rep=None, links=None).astype({"rep": "Int64", "links": "Int64", "a": "Int64", "b": "Int64"}),
+    ])[["rep", "links", "a", "b"]]
+
+
+def links_of(vectors: DataFrame, n: int, dims: int, cosine: float) -> DataFrame:
+    """(rep, links, joined) as of ``compare``, for ``n`` classes of one length."""
+    code = Code(n, dims, cosine)
+    if code.bound == -math.inf:
+        return compare(postings(vectors, code), dims, cosine)
+    groups = staged(components(alike(vectors, n, code, Sketch(dims, cosine))).withColumnRenamed("id", "rep"), "vector_groups")
+    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("s"))
+    placed = staged(vectors.select("rep", "v", "copies").join(groups.join(parts, "component"), "rep"), "placed_vectors")
+    found = compare_groups(placed.filter(F.col("s") <= MOST_PARTS), dims, cosine)
+    wide = placed.filter(F.col("s") > MOST_PARTS)
+    return found if wide.isEmpty() else found.unionByName(compare(postings(wide, code), dims, cosine))
+
+
 def postings(vectors: DataFrame, code: Code) -> DataFrame:
     """(rep, v, copies, filters, filter): every class under each of its filters; ``filters`` is their sorted list.
 
@@ -174,8 +346,7 @@ def postings(vectors: DataFrame, code: Code) -> DataFrame:
             x = np.array(b.column("v").to_pylist(), float)
             if len(x) == 0:
                 continue
-            scaled = x / np.abs(x).max(1, keepdims=True)
-            filters = code.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
+            filters = code.decode(_units(x))
             yield pa.record_batch(
                 [b.column("rep"), pa.array([_pack(r) for r in x], pa.binary()), b.column("copies"), pa.array([f.tobytes() for f in filters], pa.binary()), pa.array(filters, pa.list_(pa.int64()))],
                 ["rep", "v", "copies", "filters", "each"],
@@ -211,20 +382,15 @@ def compare(posted: DataFrame, dims: int, cosine: float) -> DataFrame:
         for (_, x, y), group in rows.groupby(["filter", "x", "y"], sort=False):
             left, right = group[group["part"] == x], group[group["part"] == y]
             _compare(left, right, x == y, int(group["filter"].iloc[0]), dims, cosine, out, joined)
-        pairs = pd.DataFrame(joined, columns=["a", "b"], dtype="int64").drop_duplicates()
-        counted = pd.DataFrame({"rep": list(out), "links": list(out.values())}, dtype="int64")
-        return pd.concat([
-            counted.assign(a=None, b=None).astype({"a": "Int64", "b": "Int64"}),
-            pairs.assign(rep=None, links=None).astype({"rep": "Int64", "links": "Int64", "a": "Int64", "b": "Int64"}),
-        ])[["rep", "links", "a", "b"]]
+        return _found(out, joined)
 
     return keyed.groupBy("task").applyInPandas(links, "rep long, links long, a long, b long")
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, filter_id: int, dims: int, cosine: float, out: dict, joined: list) -> None:
+def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, filter_id: int | None, dims: int, cosine: float, out: dict, joined: list) -> None:
     if len(left) == 0 or len(right) == 0:
         return
-    a, b = (np.stack([_unpack(r, dims) for r in side["v"]]) for side in (left, right))
+    a, b = (np.stack([_unpack(r, dims) if isinstance(r, bytes) else r for r in side["v"]]).astype(float) for side in (left, right))
     a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
     close = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]) >= cosine
     if same:
@@ -232,8 +398,9 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, filter_id: int
     ia, ib = np.nonzero(close)
     if len(ia) == 0:
         return
-    first = _first_shared(*([np.frombuffer(f, np.int64) for f in side["filters"]] for side in (left, right)), ia, ib, filter_id)
-    ia, ib = ia[first], ib[first]
+    if filter_id is not None:
+        first = _first_shared(*([np.frombuffer(f, np.int64) for f in side["filters"]] for side in (left, right)), ia, ib, filter_id)
+        ia, ib = ia[first], ib[first]
     ra, rb, ca, cb = left["rep"].to_numpy(), right["rep"].to_numpy(), left["copies"].to_numpy(), right["copies"].to_numpy()
     parent: dict[int, int] = {}
 
@@ -276,23 +443,27 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     repeat an id count as vectors of their own, and show the links of all
     rows of the id.  An empty table gives none.
     """
-    made = staged(classes(rows, 1), "vector_classes")
+    # Components that came in single precision are moved so.
+    held = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    made = staged(classes(rows, 1).select("rep", F.col("v").cast(held).alias("v"), "copies"), "vector_classes")
     base = as_doubles(rows)
     good = valid() & F.col("vec_id").isNotNull()
     found = None
     # Vectors of one length at a time; the lengths of a table are few.
     for dims, n in sorted((r[0], r[1]) for r in made.groupBy(F.size("v")).count().collect()):
-        code = Code(n, dims, cosine)
-        part = staged(compare(postings(made.filter(F.size("v") == dims), code), dims, cosine), "vector_links")
+        part = staged(links_of(made.filter(F.size("v") == dims), n, dims, cosine), "vector_links")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = made.select(F.col("rep"), F.col("copies").alias("links"), F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     counts = found.filter("rep IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.filter("a IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
-    known = made.join(counts, "rep", "left").join(reached, "rep", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    # 128 bits stand for the components; minus zero equals zero.
+    wide = F.transform(F.col("v").cast("array<double>"), lambda x: x + F.lit(0.0))
+    bits = [F.xxhash64(wide), F.xxhash64(F.lit(SEED), wide)]
+    named = made.select("rep", "copies", *(b.alias(f"k{i}") for i, b in enumerate(bits)))
+    known = named.join(counts, "rep", "left").join(reached, "rep", "left").select(
+        "k0", "k1", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    clean = F.when(good, F.transform("v", lambda x: x + F.lit(0.0)))
-    out = base.select("vec_id", clean.alias("v")).join(known, "v", "left")
-    named = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = base.select("vec_id", *(F.when(good, b).alias(f"k{i}") for i, b in enumerate(bits))).join(known, ["k0", "k1"], "left")
+    shown = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return shown.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

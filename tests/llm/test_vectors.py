@@ -55,6 +55,40 @@ def test_links_match_brute_force(table, monkeypatch, side):
     assert got == want
 
 
+@pytest.mark.parametrize("sketch_side, side, most", [(8, caps.SIDE, caps.MOST_PARTS), (caps.SKETCH_SIDE, 16, 1), (8, 16, 2)])
+def test_large_filters_and_groups_match_brute_force(table, monkeypatch, sketch_side, side, most):
+    monkeypatch.setattr(caps, "SKETCH_SIDE", sketch_side)
+    monkeypatch.setattr(caps, "SIDE", side)
+    monkeypatch.setattr(caps, "MOST_PARTS", most)
+    rows = clustered(700, 24, 5)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in caps.near_vectors(table(rows + BAD)).collect()}
+    assert got == near_by_force(rows) | {i: (0, i, True) for i, _ in BAD}
+
+
+def test_vectors_are_not_written_once_a_filter(table, monkeypatch):
+    seen, keep = {}, caps.staged
+
+    def counted(df, name="stage"):
+        out = keep(df, name)
+        if "v" in out.columns:
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(caps, "staged", counted)
+    rows = clustered()
+    assert caps.near_vectors(table(rows)).count() == len(rows)
+    assert seen and max(seen.values()) <= len(rows)
+
+
+def test_sketches_keep_pairs_at_the_cosine():
+    for dims in (8, 24, 64, 200):
+        fine = caps.Sketch(dims, 0.95)
+        x, y = caps._pairs(np.random.default_rng(11), dims, 0.95, 20_000)
+        assert (fine.alike(*fine.of(x), *fine.of(y)) >= fine.least).all()
+        x, y = caps._pairs(np.random.default_rng(12), dims, 0.3, 20_000)
+        assert (fine.alike(*fine.of(x), *fine.of(y)) >= fine.least).mean() < 0.01
+
+
 def test_near_vectors_edge_cases(table):
     assert caps.near_vectors(table([])).count() == 0
     got = caps.near_vectors(table([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [-0.0, 1.0]), (4, [0.0, 1.0])])).collect()
