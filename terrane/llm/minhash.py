@@ -33,9 +33,12 @@ from .shingles import bins, digest, shingle_set, signature
 COORDS = 16
 MATCHES = 6
 LEADER_ROUNDS = 1
-#: Side of a square of a posting, and rows that one task of small squares gets.
-SIDE = 256
+#: Side of a square of a posting, rows of it compared with the others in one go, and rows that one task of small squares gets.
+SIDE = 8192
+BLOCK = 64
 TASK_ROWS = 2000
+#: Bits of a filter of ids for each id asked about, and the least and most of all; one row of it holds BITMAP bits.
+ID_BITS, LEAST_BITS, MOST_BITS, BITMAP = 16, 1 << 20, 1 << 26, 1 << 15
 #: A sketch rejects a pair only this many standard deviations below the threshold.
 DEVIATIONS = 5.0
 
@@ -72,6 +75,21 @@ def _agree(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
 
 
+def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids in ``asked`` (doc_id, distinct).
+
+    A bitmap of hashed ids, of bounded size, goes to every task first, so that
+    only texts asked about, and few others, are moved to the join.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, BITMAP * math.ceil(ID_BITS * asked.count() / BITMAP)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = asked.select((place % BITMAP).alias("bit"), F.floor(place / BITMAP).alias("piece")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("piece", F.floor(place / BITMAP))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(place % BITMAP / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = rows.join(F.broadcast(maps), "piece").filter(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return maybe.select("doc_id", "text").join(asked, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, digests: DataFrame, width: int, least: int, of: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets meet ``of * |both| >= least * |either|``.
 
@@ -80,7 +98,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, digests: DataFrame, width: int, l
     id repeats) is passed over.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi").join(digests, "doc_id").distinct()
+    texts = texts_of(docs, staged(asked, "asked")).join(digests, "doc_id").distinct()
     sided = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("digest").alias("da")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("digest").alias("db")), "b"
     )
@@ -147,21 +165,25 @@ def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width
     columns = asked.columns
 
     def pairs(part: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
-        """Per square, the pairs of rows that only full sets can decide."""
+        """Per block of a square, the pairs of rows that only full sets can decide."""
         reps, comps, sizes, side, keys_ = (part[c].to_numpy() for c in ("rep", "component", "n", "part", "keys"))
         sigs, fine = np.stack(part["sig"].to_numpy()), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), 256)
         for (posting, x, y), at in part.groupby(["posting", "x", "y"], sort=False).indices.items():
-            left, right = at[side[at] == x], at[side[at] == y]
-            apart = comps[left][:, None] != comps[right][None, :]
-            a, b = sizes[left][:, None], sizes[right][None, :]
-            apart &= of * np.minimum(a, b) >= least * np.maximum(a, b)
-            if x == y:
-                apart = np.triu(apart, 1)
-            ia, ib = np.nonzero(apart)
-            ia, ib = left[ia], right[ib]
-            close = (sigs[ia] == sigs[ib]).sum(1) >= matches
-            found = _likely(fine, ia[close], ib[close], least / of)
-            yield [(i, j) for i, j, _ in found if _first_key(keys_[i], keys_[j]) == posting]
+            whole, right = at[side[at] == x], at[side[at] == y]
+            for start in range(0, len(whole), BLOCK):
+                left = whole[start : start + BLOCK]
+                # Within one part, a row meets those after it.
+                others = right[start:] if x == y else right
+                apart = comps[left][:, None] != comps[others][None, :]
+                a, b = sizes[left][:, None], sizes[others][None, :]
+                apart &= of * np.minimum(a, b) >= least * np.maximum(a, b)
+                if x == y:
+                    apart = np.triu(apart, 1)
+                ia, ib = np.nonzero(apart)
+                ia, ib = left[ia], others[ib]
+                close = (sigs[ia] == sigs[ib]).sum(1) >= matches
+                found = _likely(fine, ia[close], ib[close], least / of)
+                yield [(i, j) for i, j, _ in found if _first_key(keys_[i], keys_[j]) == posting]
 
     def open_rows(part: pd.DataFrame) -> pd.DataFrame:
         part = part.reset_index(drop=True)
@@ -204,7 +226,8 @@ def square_links(labelled: DataFrame, classes: DataFrame, docs: DataFrame, width
 
     # Texts are fetched for rows that have an undecided pair only.
     undecided = staged(asked.groupBy("task").applyInPandas(open_rows, asked.schema), "undecided")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(undecided.select("rep").distinct(), "rep", "left_semi").distinct()
+    asked_ids = staged(undecided.select(F.col("rep").alias("doc_id")).distinct(), "asked")
+    texts = texts_of(docs, asked_ids).withColumnRenamed("doc_id", "rep").distinct()
     return undecided.join(texts, "rep").groupBy("task").applyInPandas(test, "a long, b long")
 
 

@@ -68,6 +68,44 @@ def test_open_postings_alone_find_all_links(documents, corpus, monkeypatch):
     assert answer(documents(corpus), 3, 85, 100) == brute(corpus, 3, 85, 100)
 
 
+@pytest.mark.parametrize("block", [1, 7])
+def test_blocks_of_a_square_find_all_links(documents, corpus, monkeypatch, block):
+    monkeypatch.setattr(M, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(M, "BLOCK", block)
+    assert answer(documents(corpus), 3, 85, 100) == brute(corpus, 3, 85, 100)
+
+
+def test_a_posting_of_hundreds_is_one_square(documents, monkeypatch):
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"r{rng.randrange(10**9)}" for _ in range(20))) for i in range(600)]
+    seen = {}
+    keep = M.staged
+
+    def counted(df, name="stage"):
+        out = keep(df, name)
+        seen.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(M, "staged", counted)
+    assert {c for _, c, _ in answer(documents(rows), 3, 85, 100).values()} == set(range(600))
+    largest = seen["open_postings"].agg({"rows": "max"}).first()[0]
+    assert 256 < largest <= M.SIDE
+
+
+def test_texts_of_ids_asked_about(documents, spark, monkeypatch):
+    ids = [5, -3, 2**62, 77, 0]
+    docs = documents([(i, f"t{i}") for i in [*ids, 77, 6, 8, None, *range(1000, 4000)]])
+    asked = spark.createDataFrame([(i,) for i in [*ids, 99]], "doc_id long")
+    for least in (M.LEAST_BITS, M.BITMAP):
+        monkeypatch.setattr(M, "LEAST_BITS", least)
+        got = sorted((r.doc_id, r.text) for r in M.texts_of(docs, asked).collect())
+        assert got == sorted((i, f"t{i}") for i in [*ids, 77])
+    assert M.texts_of(docs, asked.limit(0)).count() == 0
+    plan = M.texts_of(docs, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap" in plan
+
+
 def test_edge_cases(documents):
     text = " ".join(f"t{i}" for i in range(50))
     got = M.near_duplicates(documents([(None, text), (7, text), (7, text), (3, text), (3, "other words than those of the rest here")]), 3, 85, 100).collect()
