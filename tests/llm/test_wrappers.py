@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -139,3 +140,28 @@ def test_one_item_pairs_with_the_first_of_the_best():
     one = domtree.align(["x"], list("abcd"), lambda p, q: gains.get((p, q), 0), lambda p, q: False)
     other = domtree.align(list("abcd"), ["x"], lambda p, q: gains.get((q, p), 0), lambda p, q: False)
     assert one == [(0, 2)] and other == [(2, 0)] and domtree.align(["x"], ["a"], lambda p, q: 0, lambda p, q: False) == []
+
+
+def test_long_lists_align_as_in_one_table(monkeypatch):
+    rng = random.Random(3)
+    text = lambda x: Shape(("#text", ""), x, [])
+
+    def item(side: str) -> Shape:
+        inside = [text(rng.choice(["same", "other", f"{side}{rng.randrange(9)}"])) for _ in range(rng.randrange(3))]
+        return Shape((rng.choice(["p", "li", "div"]), ""), "", [Shape(("b", ""), "", inside)] * rng.randrange(3) + inside)
+
+    for n, m in [(40, 55), (55, 40), (1, 50), (50, 1), (30, 30), (0, 9)]:
+        for cells in (0, 30, 200):
+            a, b = [item("a") for _ in range(n)], [item("b") for _ in range(m)]
+            a, b = a + b[-3:], b
+            plain = domtree.align(a, b, matched, lambda x, y: x.whole == y.whole)
+            monkeypatch.setattr(domtree, "CELLS", cells)
+            assert pairs(a, b) == plain
+            monkeypatch.undo()
+
+
+def test_long_lists_of_other_kinds_lose_no_pair():
+    leaf = lambda kind, x: Shape((kind, ""), x, [])
+    a = [leaf("h2", "only here")] + [leaf("p", f"a{i}") for i in range(1100)]
+    b = [leaf("p", f"b{i}") for i in range(1100)]
+    assert pairs(a, b) == [(i + 1, i) for i in range(1100)]
