@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrane.operators import learning
 from terrane.plans import pipelines
 from terrane.streaming import learners
-from terrane.streaming.sync import sync_stream
+from terrane.streaming.sync import sync_batch, sync_stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -136,3 +136,13 @@ def test_sync_equals_rebuild(spark, tmp_path):
     version = pipelines.latest_version(spark, str(tmp_path / "store"))
     got = pipelines.read_store(spark, str(tmp_path / "store"), version)
     assert version == 1 and plain(got, *everything) == want
+
+
+def test_a_batch_builds_its_graph_once(spark, tmp_path, monkeypatch):
+    calls, build = [], pipelines._graph
+    monkeypatch.setattr(pipelines, "_graph", lambda *a: calls.append(1) or build(*a))
+    events = spark.createDataFrame([("w", "a.py", 1, "import b\n", False), ("w", "b.py", 1, "x = 1\n", False)], "workspace_id string, path string, version long, content string, deleted boolean")
+    sync_batch(events, str(tmp_path / "s"), 0)
+    assert len(calls) == 1
+    store = pipelines.read_store(spark, str(tmp_path / "s"), 0)
+    assert set(store) == set(pipelines.TABLES) and [(r.source, r.target) for r in store["edges"].collect()] == [("a", "b")] and store["nodes"].count() == 2
