@@ -10,6 +10,7 @@ from terrane.operators import chunks as ck
 from terrane.operators import graph
 from terrane.operators import iterate
 from terrane.operators import learning as ln
+from terrane.operators import resolve
 from terrane.operators.iterate import ancestor_closure, connected_components, k_hop
 from terrane.operators.intervals import holding, interval_labels, nearest, open_over
 from terrane.operators.knn import build_index, knn, search, visited
@@ -293,3 +294,16 @@ def test_risk_moves_a_pair_of_neighbours_once(spark):
     # rows are counted for a pair before its ends are parted
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("Generate") < text.rindex("Aggregate")
+
+
+def test_guesses_that_begin_like_no_key_are_dropped(spark, monkeypatch):
+    modules = spark.createDataFrame([("w", m) for m in ("src.a.b", "src.c", "lib.x", "top")], "workspace_id string, module_name string")
+    asked = [("src.a.b", "b"), ("src.a", "b"), ("src.c.f", "f"), ("root.src.a.b", "q"), ("a.b", ""), ("a", "b"), ("top.y", "y"), ("numpy.linalg.norm", "norm"), ("x", None), ("other.lib.x.z", None)]
+    imports = spark.createDataFrame([("w", "me", i, m, n, 0) for i, (m, n) in enumerate(asked)], "workspace_id string, module_name string, ord int, raw_module string, name string, level int")
+    resolved = lambda: rows(resolve.resolve_imports(imports, modules).select("ord", "target"))
+    kept, sift = [], resolve._possible
+    monkeypatch.setattr(resolve, "_possible", lambda g, b: kept.append((g.count(), sift(g, b).count())) or sift(g, b))
+    sifted = resolved()
+    monkeypatch.setattr(resolve, "BEGINNINGS", 0)
+    assert sifted == resolved() and [t for _, t in sifted][:4] == ["src.a.b", "src.a.b", "src.c", "src.a.b"]
+    assert kept[1][0] == kept[1][1] and kept[0][1] < kept[0][0] / 2
